@@ -12,8 +12,10 @@ Conventions used by every operator here:
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,27 @@ def sized(df: DataFrame, row_bytes: int | None = None, limit: int = BROADCAST_BY
     return F.broadcast(df) if total <= limit else df
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Batches sorted by keys, as frames that hold whole groups only."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            b = pd.concat(held, ignore_index=True)
+            k = b[keys]
+            differs = np.flatnonzero((k != k.iloc[-1]).any(axis=1).to_numpy())
+            cut = int(differs[-1]) + 1 if len(differs) else 0
+            if cut:
+                yield b.iloc[:cut]
+            held, n = [b.iloc[cut:]], len(b) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def ranked(df: DataFrame, order: Sequence[str], name: str) -> tuple[DataFrame, int]:
     """df with its gapless position (from 0) in the total order, and the number
     of rows. A range shuffle sorts; only one count for each partition is sent

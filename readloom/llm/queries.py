@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lang_id, license_scan, line_dedup, quality_rules, sharding, simhash
+from . import embed_dedup, lang_id, license_scan, line_dedup, packing, quality_rules, sharding, simhash, token_records
 from .common import table
 
 
@@ -18,10 +20,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = token_records.records_folder(spark)
+    manifest = token_records.write_records(table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
+    back = token_records.read_records(manifest, to)
+    return back.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, removed_col="removed_lines")
@@ -31,11 +44,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op4_lang_id, op7_line_dedup, op8_license_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_token_records, op4_lang_id, op5_embedding_dedup, op7_line_dedup, op8_license_scan, op9_packing, op10_quality_rules)
 }
 ORACLE_SQL = {"op7_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op10_quality_rules": quality_rules.SQL}

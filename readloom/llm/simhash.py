@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import checkpoint, components, digest_of, fresh, sized
+from .common import checkpoint, components, digest_of, fresh, sized, whole_groups
 
 SHINGLE = 3
 RADIUS = 3
@@ -160,8 +160,6 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _stars(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key; whole groups are compared as they complete."""
-        rest: list[pd.DataFrame] = []
-
         def done(b: pd.DataFrame) -> pd.DataFrame:
             k = b[["band", "value", "c1", "c2"]].to_numpy()
             group = np.cumsum(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.empty(0, np.int64)
@@ -173,19 +171,7 @@ def _stars(radius: int):
             s = p.view(np.int64)
             return pd.DataFrame({"a": s[own], "b": s[root[own]]}).drop_duplicates()
 
-        for b in batches:
-            if len(b):
-                rest.append(b)
-                if sum(map(len, rest)) >= 200_000:
-                    b = pd.concat(rest)
-                    k = b[["band", "value", "c1", "c2"]].to_numpy()
-                    same = (k == k[-1]).all(axis=1)
-                    cut = len(b) - (int(np.argmin(same[::-1])) if not same.all() else len(b))
-                    if cut:
-                        yield done(b.iloc[:cut])
-                    rest = [b.iloc[cut:]]
-        if rest:
-            yield done(pd.concat(rest))
+        yield from map(done, whole_groups(batches, ["band", "value", "c1", "c2"]))
 
     return run
 
