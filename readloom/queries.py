@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from . import views as V
 from .functions import expressions as X
 from .operators import dna, quality, records, titles
 from .plans import encoding
+from .shared import shared_dir
+from .sources import archive, fastq
 
 CELLS = """e as (select block_id, read_id, pos, strpos('AGCTNRWSKMDVHBYXU.-', substr(seq, pos + 1, 1)) - 1 as b, ascii(substr(qual, pos + 1, 1)) - 33 as q
   from (select *, unnest(range(0, length(seq))) as pos from reads)),
@@ -223,13 +227,56 @@ from hd join qs using (block_id) join dna using (block_id) left join pl using (b
 
 
 def _counts(*flags: str) -> list:
-    from pyspark.sql import functions as F
-
     return [F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in flags]]
 
 
+def archive_roundtrip(reads: DataFrame) -> DataFrame:
+    """Encode each block, decode it, and compare it with what went in."""
+    back = archive.decoded(archive.encoded(archive.blocks_in_place(reads), verify=False))
+    order = Window.partitionBy("block_id").orderBy("read_id")
+    own = reads.withColumn("place", F.row_number().over(order) - 1)
+    both = own.join(back.withColumnsRenamed({c: f"b_{c}" for c in ("title", "seq", "qual")}), ["block_id", "place"], "full")
+    wrong = F.expr("not (title <=> b_title and seq <=> b_seq and qual <=> b_qual)")
+    return both.groupBy("block_id").agg(F.count("*").alias("records"), F.count_if(wrong).alias("mismatches"))
+
+
+def fastq_roundtrip(reads: DataFrame) -> DataFrame:
+    """Write reads as FASTQ, scan the file in chunks of 64 KiB, and give what
+    was read; ids are those of the scan, so only the content is returned."""
+    path = f"{shared_dir(reads.sparkSession).rstrip('/')}/reads-{uuid.uuid4().hex}.fastq"
+    fastq.write_fastq(reads, path)
+    return fastq.read_fastq(reads.sparkSession, path, 1 << 16).select("title", "seq", "qual", "plus")
+
+
+def archive_scan(reads: DataFrame) -> DataFrame:
+    """Write an archive and read its blocks' heads and titles back."""
+    path = f"{shared_dir(reads.sparkSession).rstrip('/')}/reads-{uuid.uuid4().hex}.arc"
+    done = archive.encoded(archive.blocks_in_place(reads)).select("block_id", "block")
+    done.write.format("readarchive").mode("append").save(path)
+    heads = archive.read_archive(reads.sparkSession, path, "head").select("block_id", "records", "chunk_size")
+    titles = archive.read_archive(reads.sparkSession, path, "title").groupBy("block_id").agg(F.sum(F.length("title")).cast("long").alias("title_bytes"))
+    return heads.join(titles, "block_id")
+
+
+TABLE |= {
+    "archive_roundtrip": (V.VARIED_SQL, archive_roundtrip, "select block_id, count(*) as records, cast(0 as bigint) as mismatches from reads group by block_id"),
+    "fastq_roundtrip": (V.VARIED_SQL, fastq_roundtrip, "select title, seq, qual, '+' as plus from reads"),
+    "archive_scan": (
+        V.READS_SQL,
+        archive_scan,
+        "select block_id, count(*) as records, cast(sum(length(title) + length(seq) + length(qual) + 5) as bigint) as chunk_size, cast(sum(length(title)) as bigint) as title_bytes from reads group by block_id",
+    ),
+}
+
+
+def generate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .api import generated
+
+    return generated(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").count(), 50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, v=v, f=f: f(V.view(spark, sf_dir, v))) for name, (v, f, _) in TABLE.items()}
+    return {name: (lambda spark, sf_dir, v=v, f=f: f(V.view(spark, sf_dir, v))) for name, (v, f, _) in TABLE.items()} | {"generate_reads": generate_reads}
 
 
 def oracle_sql() -> dict[str, str]:
