@@ -11,7 +11,6 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..shipping import ship
 
 #: White space that separates words (space, tab, line feed, vertical tab, form feed, return).
@@ -33,20 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or
-    where that is unset a temporary folder (local master) or the warehouse."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            found = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_readloom"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise reliably in the shared folder and cut the lineage."""
     shared_dir(df.sparkSession)

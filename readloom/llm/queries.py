@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, lang_id, license_scan, line_dedup, packing, quality_rules, sharding, simhash, token_records
+from . import embed_dedup, lang_id, license_scan, line_dedup, packing, piece_lattice, quality_rules, sharding, simhash, token_records
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encoding_digest(table(spark, sf_dir, "documents"), piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, removed_col="removed_lines")
@@ -53,6 +57,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_token_records, op4_lang_id, op5_embedding_dedup, op7_line_dedup, op8_license_scan, op9_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_token_records, op4_lang_id, op5_embedding_dedup, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_packing, op10_quality_rules)
 }
 ORACLE_SQL = {"op7_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op10_quality_rules": quality_rules.SQL}
