@@ -58,7 +58,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = whole.join(gone, F.col(box)[id_col].eqNullSafe(F.col("rl_id")) & (F.col("t_th") == F.col("rl_th")), "left")
     text = without_lines(F.col(box)[text_col], F.col("rl_removed"))
     out = [text.alias(c) if c == text_col else F.col(box)[c].alias(c) for c in docs.columns]
-    return whole.select(*out, *[F.coalesce(F.size("rl_removed"), F.lit(0)).cast("long").alias(removed_col)] * bool(removed_col))
+    if removed_col:
+        out.append(F.coalesce(F.size("rl_removed"), F.lit(0)).cast("long").alias(removed_col))
+    return whole.select(*out)
 
 
 SQL = rf"""
