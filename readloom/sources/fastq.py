@@ -35,7 +35,9 @@ def last_record(window: bytes, tail: int = TAIL) -> int | None:
         at = end + 1
         if window[at : at + 1] == b"@":
             after = window.find(b"\n", at) + 1
-            return after if 0 < after < len(window) and window[after : after + 1] == b"@" else at
+            if not 0 < after < len(window):
+                return None  # the next line is not in sight
+            return after if window[after : after + 1] == b"@" else at
     return None
 
 
