@@ -284,17 +284,22 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
 
 
 def encoding_digest(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_words, n_pieces, ids_xor) for each row. ids_xor
-    combines, over a document's words, the XXH64 of place and ids, so it tells
-    the whole id sequence and its order. Only sums leave a task, so no document
-    is gathered. Rows that repeat a document are counted once."""
+    """(doc_id, n_words, n_pieces, ids_digest) for each row. ids_digest combines,
+    over a document's words, the XXH64 of place and ids (summed by halves), so
+    it tells the whole id sequence and its order. Only sums leave a task, so no
+    document is gathered. Rows that repeat a document share its figures."""
     near, far = encoded_words(docs, model, id_col, text_col, hot)
+    sums = [F.sum(c).alias(c) for c in ("w", "n", "lo", "hi")]
 
     def part(x: DataFrame) -> DataFrame:
-        own = x.select("id", "th", F.xxhash64("pos", "ids").alias("h"), F.size("ids").cast("long").alias("n"))
-        return own.groupBy("id", "th").agg(F.bit_xor("h").alias("h"), F.count("*").alias("w"), F.sum("n").alias("n"))
+        own = x.select("id", "th", F.xxhash64("pos", "ids").alias("h"), F.size("ids").cast("long").alias("n"), F.lit(1).cast("long").alias("w"))
+        own = own.withColumns({"lo": F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftright("h", 32)})
+        return own.groupBy("id", "th").agg(*sums)
 
-    both = part(near).unionByName(part(far)).groupBy("id", "th").agg(F.bit_xor("h").alias("h"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+    both = part(near).unionByName(part(far)).groupBy("id", "th").agg(*sums)
     keys = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("k_th"))
-    out = keys.join(both, keys["doc_id"].eqNullSafe(both["id"]) & (keys["k_th"] == both["th"]), "left")
-    return out.select("doc_id", F.coalesce("w", F.lit(0)).alias("n_words"), F.coalesce("n", F.lit(0)).alias("n_pieces"), F.coalesce("h", F.lit(0)).alias("ids_xor"))
+    times = keys.groupBy("doc_id", "k_th").agg(F.count("*").alias("c"))
+    known = times.join(both, times["doc_id"].eqNullSafe(both["id"]) & (times["k_th"] == both["th"]), "left")
+    one = lambda c: F.coalesce(F.expr(f"{c} div c"), F.lit(0))
+    known = known.select(F.col("doc_id"), "c", one("w").alias("n_words"), one("n").alias("n_pieces"), F.when(F.col("w").isNull(), F.lit(0)).otherwise(F.xxhash64(F.expr("lo div c"), F.expr("hi div c"))).cast("long").alias("ids_digest"))
+    return known.select(F.explode(F.array_repeat(F.struct("doc_id", "n_words", "n_pieces", "ids_digest"), F.col("c").cast("int"))).alias("x")).select("x.*")

@@ -1,0 +1,53 @@
+"""Registered corpus queries: SQL parity and the pipeline."""
+
+from __future__ import annotations
+
+import os
+
+import corpus_pipeline
+import duckdb
+import pytest
+
+from readloom.llm import lang_id, line_dedup, queries, quality_rules, simhash
+from readloom.llm.common import table
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE_SQL[name]).to_arrow_table().to_pylist()
+    cols = sorted(got.columns)
+    assert sorted(repr([r[c] for c in cols]) for r in got.collect()) == sorted(repr([r[c] for c in cols]) for r in want)
+
+
+def test_names():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_pipeline(spark):
+    """Each stage's decisions, from the operators' own rows."""
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    a = corpus_pipeline.quality(spark, docs, SF)
+    assert a.columns == columns
+    assert {r["doc_id"] for r in a.collect()} == {r["doc_id"] for r in quality_rules.quality(docs).where("kept").collect()}
+    b = corpus_pipeline.language(spark, a, SF)
+    assert b.columns == columns
+    model = lang_id.model_of(a)
+    texts = a.select("doc_id", "text").collect()
+    names, scores = model.predict([r["text"] for r in texts])
+    assert {r["doc_id"] for r in b.collect()} == {r["doc_id"] for r, n, s in zip(texts, names, scores, strict=True) if n != lang_id.UND and s >= corpus_pipeline.MIN_LANG_SCORE}
+    c = corpus_pipeline.lines(spark, b, SF)
+    assert c.columns == columns
+    want = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(b).collect() if r["text"].strip()}
+    assert {r["doc_id"]: r["text"] for r in c.collect()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in c.collect())
+    d = corpus_pipeline.near_duplicates(spark, c, SF)
+    assert d.columns == columns
+    assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in simhash.near_duplicates(c).where("doc_id = component_id").collect()}
+    whole = corpus_pipeline.run(spark, SF)
+    assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in d.collect()}
