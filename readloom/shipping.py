@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once for each Spark application."""
+    """Send the package to the workers once for each Spark application, and
+    keep Arrow batches small, since rows may hold long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_readloom_shipped", False):
         return
