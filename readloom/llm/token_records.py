@@ -39,6 +39,7 @@ from .common import digest_of
 from .tokens import encoder, vocabulary_size
 
 END_ID = 2
+CACHE = 1_000_000  # units of text whose ids a worker keeps, some 250 bytes each
 _STEP = 256  # bytes of a slice of the checksum
 _POLYNOMIAL = 0x82F63B78
 _MANIFEST = "file int, path string, records long, tokens long, bytes long"
@@ -119,7 +120,7 @@ def write_records(docs: DataFrame, to: str, tokenizer: str, kind: str = "white",
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        code, last = encoder(tokenizer, kind), end_id.to_bytes(4, "little")
+        code, last = encoder(tokenizer, kind, CACHE), end_id.to_bytes(4, "little")
         at = TaskContext.get().partitionId()
         fs, folder = FileSystem.from_uri(to)
         path = f"{folder}/part-{at:06d}-{uuid.uuid4().hex}.rec"
