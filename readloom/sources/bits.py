@@ -46,11 +46,36 @@ class BitWriter:
         return np.packbits(((np.repeat(v, w) >> left.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
+#: Bits looked at together when codes are decoded.
+WINDOW = 12
+
+
 class BitReader:
     """Reads from any bit on; raises EOFError beyond the end."""
 
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
+        self._windows: memoryview | None = None
+
+    @property
+    def windows(self) -> memoryview:
+        """The WINDOW bits that follow each bit (zeros beyond the end)."""
+        if self._windows is None:
+            b = np.frombuffer(self.data + bytes(3), np.uint8).astype(np.uint32)
+            wide = (b[:-2] << 16 | b[1:-1] << 8 | b[2:])[:, None]
+            shift = (24 - WINDOW - np.arange(8, dtype=np.uint32))[None, :]
+            self._windows = memoryview(((wide >> shift) & ((1 << WINDOW) - 1)).astype(np.uint16).ravel())
+        return self._windows
+
+    def array(self, count: int, width: int) -> np.ndarray:
+        """count values of equal width."""
+        n = count * width
+        if self.at + n > self.end:
+            raise EOFError("the bit stream ends too early")
+        lo, hi = self.at // 8, -(-(self.at + n) // 8)
+        bits = np.unpackbits(np.frombuffer(self.data[lo:hi], np.uint8))[self.at - 8 * lo :][:n].reshape(count, width)
+        self.at += n
+        return bits @ (1 << np.arange(width)[::-1])
 
     def get(self, width: int) -> int:
         to = self.at + width
@@ -134,16 +159,15 @@ class PrefixCode:
 
 
 class PrefixReader:
-    """A stored code, decoded through a table of the first bits."""
-
-    BITS = 12
+    """A stored code, decoded through tables of the first bits: symbols, and
+    lengths (0 where a code is longer than the window)."""
 
     def __init__(self, r: BitReader):
         r.align()
         _, self.root, n, _ = r.word(), r.word(), r.word(), r.byte()
         wide = id_width(n)
         self.long: dict[tuple[int, int], int] = {}
-        self.table: list[tuple[int, int] | None] = [None] * (1 << self.BITS)
+        self.symbols, self.lengths = [0] * (1 << WINDOW), bytearray(1 << WINDOW)
         stack = [(0, 0)]
         while stack:
             code, depth = stack.pop()
@@ -153,26 +177,65 @@ class PrefixReader:
                 stack += [(2 * code + 1, depth + 1), (2 * code, depth + 1)]
                 continue
             symbol = r.get(wide)
-            if depth <= self.BITS:
-                span = 1 << (self.BITS - depth)
-                self.table[code * span : (code + 1) * span] = [(symbol, depth)] * span
+            if depth <= WINDOW:
+                span = 1 << (WINDOW - depth)
+                self.symbols[code * span : (code + 1) * span] = [symbol] * span
+                self.lengths[code * span : (code + 1) * span] = bytes([depth]) * span
             else:
                 self.long[code, depth] = symbol
         r.align()
 
     def read(self, r: BitReader) -> int:
-        at = r.at
-        lo = at >> 3
-        seen = int.from_bytes(r.data[lo : lo + 3].ljust(3, b"\0"), "big") >> (24 - self.BITS - (at & 7)) & 0xFFF
-        hit = self.table[seen]
-        if hit:
-            r.at = at + hit[1]
+        if r.at >= r.end:
+            raise EOFError("the bit stream ends too early")
+        seen = r.windows[r.at]
+        if n := self.lengths[seen]:
+            r.at += n
             if r.at > r.end:
                 raise EOFError("the bit stream ends too early")
-            return hit[0]
-        code, depth = r.get(self.BITS), self.BITS
+            return self.symbols[seen]
+        code, depth = r.get(WINDOW), WINDOW
         while depth < 64:
             code, depth = 2 * code + r.get(1), depth + 1
             if (code, depth) in self.long:
                 return self.long[code, depth]
         raise ValueError("no such code")
+
+    def many(self, r: BitReader, count: int) -> list[int]:
+        """count symbols in a row."""
+        windows, symbols, lengths, at, out = r.windows, self.symbols, self.lengths, r.at, []
+        for _ in range(count):
+            if at >= r.end:
+                raise EOFError("the bit stream ends too early")
+            seen = windows[at]
+            if n := lengths[seen]:
+                at += n
+                out.append(symbols[seen])
+            else:
+                r.at = at
+                out.append(self.read(r))
+                at = r.at
+        if at > r.end:
+            raise EOFError("the bit stream ends too early")
+        r.at = at
+        return out
+
+
+def read_each(r: BitReader, codes: list[PrefixReader]) -> list[int]:
+    """A symbol of each code in turn."""
+    windows, at, end, out = r.windows, r.at, r.end, []
+    for c in codes:
+        if at >= end:
+            raise EOFError("the bit stream ends too early")
+        seen = windows[at]
+        if n := c.lengths[seen]:
+            at += n
+            out.append(c.symbols[seen])
+        else:
+            r.at = at
+            out.append(c.read(r))
+            at = r.at
+    if at > end:
+        raise EOFError("the bit stream ends too early")
+    r.at = at
+    return out

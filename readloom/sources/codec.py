@@ -30,7 +30,7 @@ from ..schema import (
     TAIL_QUALITY,
     TRUNCATED_RATIO,
 )
-from .bits import BitReader, BitWriter, PrefixCode, PrefixReader, width_of
+from .bits import BitReader, BitWriter, PrefixCode, PrefixReader, read_each, width_of
 
 VARIABLE_LENGTH = 2
 _SPLIT = re.compile(r"([ ._,=:/\-#])")
@@ -111,12 +111,12 @@ def get_dna(r: BitReader, n: int) -> np.ndarray:
             raise ValueError("bases are missing")
         return np.empty(0, np.int64)
     if scheme == DNA_SCHEMES["B2"]:
-        dna = np.array([r.get(2) for _ in range(n)], np.int64)
+        dna = r.array(n, 2)
     elif scheme == DNA_SCHEMES["HUFFMAN"]:
         have = np.array([k for k in range(len(ALPHABET)) if r.get(1)], np.int64)
         r.align()
         code = PrefixReader(r)
-        dna = have[np.array([code.read(r) for _ in range(n)], np.int64)]
+        dna = have[np.array(code.many(r, n), np.int64)]
     else:
         raise ValueError(f"unknown sequence scheme {scheme}")
     r.align()
@@ -207,14 +207,13 @@ def get_quality(r: BitReader, sizes: np.ndarray) -> np.ndarray:
         keep = r.get(width_of(n if varied else most)) if cut and r.get(1) else n
         if keep > n or n > most:
             raise ValueError("a quality length is out of range")
-        for code in codes[:keep]:
-            k = code.read(r)
-            if k >= len(have):
-                raise ValueError("a quality symbol is out of range")
-            out.append(have[k])
-        out += [TAIL_QUALITY] * (n - keep)
+        out += read_each(r, codes if keep == most else codes[:keep])
+        out += [len(have)] * (n - keep)
     r.align()
-    return np.array(out, np.int64)
+    symbols = np.array(out, np.int64)
+    if (symbols > len(have)).any() or (not cut and (symbols == len(have)).any()):
+        raise ValueError("a quality symbol is out of range")
+    return np.array([*have, TAIL_QUALITY], np.int64)[symbols]
 
 
 def runs_of(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
