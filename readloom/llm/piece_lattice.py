@@ -38,6 +38,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,14 +65,14 @@ class Pieces:
     byte0: int
     prefix: bool
 
-    @property
+    @cached_property
     def after_letter(self) -> str:
         """ASCII punctuation that no piece has right after a letter; a text can
         be cut before it there, as no edge of the lattice reaches over."""
         joined = {b for p, _, _ in self.table for a, b in zip(p, p[1:], strict=False) if unicodedata.category(a)[0] == "L"}
         return "".join(c for c in string.punctuation if c not in joined)
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.table), default=1)
 

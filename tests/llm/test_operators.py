@@ -271,6 +271,26 @@ def test_pieces(spark, docs, none, rows):
     digest = piece_lattice.encoding_digest(docs, model, hot=50).collect()
     assert len(digest) == len(rows)
     assert sorted(r["n_pieces"] for r in digest) == sorted(len(plain.encode(r[1] or "")) for r in rows)
+    import re
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    def spark_hash(values: list[int], seed: int = 42) -> int:
+        for v, form in values:
+            seed = xxh64_intdigest(struct.pack(form, v), seed)
+        return seed
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    stop = re.escape(model.after_letter)
+    for r in rows:
+        if r[0] in (3, 200, 501, 502) or r[0] == 5:
+            full = piece_lattice.MARK + r[1].replace(" ", piece_lattice.MARK)
+            cut = re.findall(rf"▁*[^\W\d_]++(?=[{stop}])|\n|▁*[^▁\n]+|▁+", full)
+            table = {p: (x, i) for p, x, i in model.table}
+            h = [spark_hash([(k, "<i"), *((i, "<i") for i in piece_lattice.encode_long(w, model, table))]) for k, w in enumerate(cut)]
+            want = signed(spark_hash([(sum(x & 0xFFFFFFFF for x in h), "<q"), (sum(signed(x) >> 32 for x in h), "<q")]))
+            assert want in {d["ids_digest"] for d in digest if d["doc_id"] == r[0]}, r[0]
     spans = spark.createDataFrame([(k, list(ids)) for k, (_, ids) in enumerate(sorted(got, key=str))], "key long, ids array<int>")
     back = {r["text"] for r in piece_lattice.decode_sequences(spans, model, "key").collect()}
     assert back == {r[1] for r in rows if r[1]}
