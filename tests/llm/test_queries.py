@@ -28,25 +28,31 @@ def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
 
 
-def test_pipeline(spark):
-    """Each stage's decisions, from the operators' own rows."""
+def test_pipeline(spark, tmp_path):
+    """Each stage's decisions, from the operators' own rows. Stages are written
+    and read again in between, as in a run."""
+
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
     docs = table(spark, SF, "documents")
     columns = docs.columns
-    a = corpus_pipeline.quality(spark, docs, SF)
+    a = stored(corpus_pipeline.quality(spark, docs, SF), "a")
     assert a.columns == columns
     assert {r["doc_id"] for r in a.collect()} == {r["doc_id"] for r in quality_rules.quality(docs).where("kept").collect()}
-    b = corpus_pipeline.language(spark, a, SF)
+    b = stored(corpus_pipeline.language(spark, a, SF), "b")
     assert b.columns == columns
     model = lang_id.model_of(a)
     texts = a.select("doc_id", "text").collect()
     names, scores = model.predict([r["text"] for r in texts])
     assert {r["doc_id"] for r in b.collect()} == {r["doc_id"] for r, n, s in zip(texts, names, scores, strict=True) if n != lang_id.UND and s >= corpus_pipeline.MIN_LANG_SCORE}
-    c = corpus_pipeline.lines(spark, b, SF)
+    c = stored(corpus_pipeline.lines(spark, b, SF), "c")
     assert c.columns == columns
     want = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(b).collect() if r["text"].strip()}
     assert {r["doc_id"]: r["text"] for r in c.collect()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in c.collect())
-    d = corpus_pipeline.near_duplicates(spark, c, SF)
+    d = stored(corpus_pipeline.near_duplicates(spark, c, SF), "d")
     assert d.columns == columns
     assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in simhash.near_duplicates(c).where("doc_id = component_id").collect()}
     whole = corpus_pipeline.run(spark, SF)
