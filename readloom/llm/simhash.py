@@ -72,7 +72,7 @@ def planes_of(prints: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
         f, s = first[at : at + 2048], size[at : at + 2048]
         rows = np.minimum(f[:, None] + np.arange(64), f[:, None] + s[:, None] - 1)
         bits = np.unpackbits(prints[rows].view(np.uint8).reshape(len(f), 64, 8), axis=2, bitorder="little")
-        out[at : at + 2048] = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+        out[at : at + 2048] = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
     return out
 
 
