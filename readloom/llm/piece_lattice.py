@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import checkpoint, digest_of
+from .common import checkpoint, digest_of, let
 
 MARK = "▁"
 LONG = 60
@@ -284,6 +284,31 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
     return every.select(F.col("id").alias("doc_id"), "th", F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids"))
 
 
+def decoded(ids: Column, model: Pieces) -> Column:
+    """Text of an id sequence, as bytes read for a string: the pieces' bytes in
+    order, less the leading space that the model's prefix put there."""
+    known = {i: p.replace(MARK, " ").encode() for p, _, i in model.table} | {model.byte0 + b: bytes([b]) for b in range(256)}
+    # one string literal, which is split once, as the plan is made
+    pieces = F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
+    text = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
+    return let(text, lambda t: F.when(F.startswith(t, F.lit(" ")), F.substr(t, F.lit(2))).otherwise(t)) if model.prefix else text
+
+
+def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, n_words, n_pieces, ids, same_text) for each row: the whole id
+    sequence in text order, and whether it decodes to the text again (compared
+    by hash; a text that holds U+2581 itself does not, as that becomes a space)."""
+    near, far = encoded_words(docs, model, id_col, text_col, hot)
+    words = near.unionByName(far).select("id", "th", F.struct("pos", "ids").alias("w"), F.lit(0).cast("long").alias("c"))
+    keys = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.lit(None).cast(words.schema["w"].dataType).alias("w"), F.lit(1).cast("long").alias("c"))
+    # a document's row comes with its words, so that one without a word is there too
+    every = words.unionByName(keys).groupBy("id", "th").agg(F.array_sort(F.collect_set("w")).alias("x"), F.sum("c").alias("c"))
+    every = every.select("id", "th", "c", F.size("x").cast("long").alias("n_words"), F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids"))
+    text = let(decoded(F.col("ids"), model), lambda t: (F.xxhash64(t, F.lit(False)) == F.col("th")) | ((t == "") & (F.col("th") == digest_of(F.lit(None).cast("string")))))
+    every = every.select(F.col("id").alias("doc_id"), "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", text.alias("same_text"), "c")
+    return every.select("doc_id", "n_words", "n_pieces", "ids", "same_text", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("c")).drop("c")
+
+
 def encoding_digest(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids_digest) for each row. ids_digest combines,
     over a document's words, the XXH64 of place and ids (summed by halves), so

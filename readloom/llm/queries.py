@@ -36,7 +36,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_lattice.encoding_digest(table(spark, sf_dir, "documents"), piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model")))
+    return piece_lattice.round_trip(table(spark, sf_dir, "documents"), piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
