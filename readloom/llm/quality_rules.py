@@ -80,10 +80,7 @@ def normal_line(line: Column) -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """(id, th, removed_words, removed) for the documents that lose lines;
     removed: positions of those among the text's \\n-split lines, from 0."""
-    t = F.col(text_col)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda e: has_word(e["line"]))
-    rows = docs.where(t.isNotNull()).select(F.col(id_col).alias("id"), digest_of(t).alias("th"), F.col(host_col).alias("host"), F.explode(lines).alias("e"))
-    rows = rows.select("id", "th", "host", F.xxhash64(normal_line(F.col("e.line"))).alias("lh"), F.col("e.pos").alias("pos"), F.size(words_of(F.col("e.line"))).alias("nw"))
+    rows = _lines_of(docs, id_col, text_col, host_col)
     over = rows.groupBy("host", "lh").agg(F.count_distinct("th").alias("n"), F.min(F.struct("id", "th")).alias("first")).where(F.col("n") > max_line_docs)
     over = checkpoint(over.select(F.col("host").alias("o_host"), F.col("lh").alias("o_lh"), F.col("first.id").alias("o_id"), F.col("first.th").alias("o_th")))
     hit = rows.join(sized(over, 96), rows["host"].eqNullSafe(F.col("o_host")) & (rows["lh"] == F.col("o_lh")))
@@ -114,15 +111,67 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.when(removed.isNull() | (F.size(removed) == 0), text).otherwise(let(F.split(text, "\n"), cut))
 
 
+def _lines_of(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(id, th, host, lh, pos, nw) for each line with a word."""
+    t = F.col(text_col)
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda e: has_word(e["line"]))
+    rows = docs.where(t.isNotNull()).select(F.col(id_col).alias("id"), digest_of(t).alias("th"), F.col(host_col).alias("host"), F.explode(lines).alias("e"))
+    return rows.select("id", "th", "host", F.xxhash64(normal_line(F.col("e.line"))).alias("lh"), F.col("e.pos").alias("pos"), F.size(words_of(F.col("e.line"))).alias("nw"))
+
+
+def settled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """(id, th, host, depleted, removed) for documents with over-frequent lines
+    that pass the base rules. Of the documents of a host that are kept, the
+    first (smallest id) that holds such a line keeps it, the others lose it.
+
+    Whether a document is kept depends on smaller ones alone, so all are settled
+    whose smaller holders do not matter any more, round by round; a round
+    settles at least the smallest of those left, most rounds nearly all."""
+    rows = _lines_of(docs, id_col, text_col, host_col)
+    over = rows.groupBy("host", "lh").agg(F.count_distinct("th").alias("n")).where(F.col("n") > max_line_docs)
+    over = checkpoint(over.select(F.col("host").alias("o_host"), F.col("lh").alias("o_lh")))
+    hit = checkpoint(rows.join(sized(over, 96), rows["host"].eqNullSafe(F.col("o_host")) & (rows["lh"] == F.col("o_lh"))).select(*rows.columns))
+    some = checkpoint(hit.select(F.col("id").alias("s_id"), F.col("th").alias("s_th")).distinct())
+    t = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("v_id"), digest_of(t).alias("v_th"), t.alias("v_text"))
+    texts = texts.join(sized(some, 48), F.col("v_id").eqNullSafe(F.col("s_id")) & (F.col("v_th") == F.col("s_th")))
+    fair = texts.select("v_id", "v_th", base_metrics(F.col("v_text"))["stats"].alias("st")).where(~base_failed(F.col("st.n_words"), F.col("st.n_repeat_words")))
+    fair = checkpoint(fair.groupBy("v_id", "v_th").agg((max_removed_share * F.min("st.n_words")).alias("may")))
+    # lines of documents that pass: k orders the holders, w counts a line's words in the document
+    own = hit.groupBy("id", "th", "host", "lh").agg(F.collect_set(F.struct("pos", "nw")).alias("at"))
+    own = own.join(sized(fair, 64), F.col("id").eqNullSafe(F.col("v_id")) & (F.col("th") == F.col("v_th")))
+    w = F.aggregate("at", F.lit(0).cast("long"), lambda a, e: a + e["nw"])
+    state = checkpoint(own.select("id", "th", "host", "lh", F.struct("id", "th").alias("k"), w.alias("w"), F.transform("at", lambda e: e["pos"]).alias("pos"), "may", F.lit(None).cast("boolean").alias("kept")))
+
+    def with_holders(s: DataFrame) -> DataFrame:
+        first = s.groupBy("host", "lh").agg(F.min(F.when(F.col("kept"), F.col("k"))).alias("held"), F.min(F.when(F.col("kept").isNull(), F.col("k"))).alias("open"))
+        first = checkpoint(first.select(F.col("host").alias("f_host"), F.col("lh").alias("f_lh"), "held", "open"))
+        return s.join(sized(first, 128), s["host"].eqNullSafe(F.col("f_host")) & (s["lh"] == F.col("f_lh")))
+
+    lost = F.coalesce(F.col("held") < F.col("k"), F.lit(False))
+    while state.where("kept is null").limit(1).count():
+        both = with_holders(state)
+        maybe = lost | F.coalesce(F.col("open") < F.col("k"), F.lit(False))
+        own = both.where("kept is null").groupBy("id", "th", "host").agg(F.sum(F.when(lost, F.col("w")).otherwise(0)).alias("least"), F.sum(F.when(maybe, F.col("w")).otherwise(0)).alias("most"), F.min("may").alias("may"))
+        verdict = own.select(F.col("id").alias("u_id"), F.col("th").alias("u_th"), F.col("host").alias("u_host"), F.when(F.col("least") > F.col("may"), F.lit(False)).when(F.col("most") <= F.col("may"), F.lit(True)).alias("now")).where("now is not null")
+        verdict = checkpoint(verdict)
+        joined = state.join(sized(verdict, 96), F.col("id").eqNullSafe(F.col("u_id")) & (F.col("th") == F.col("u_th")) & F.col("host").eqNullSafe(F.col("u_host")), "left")
+        state = checkpoint(joined.select(*[c for c in state.columns if c != "kept"], F.coalesce("kept", "now").alias("kept")))
+    out = with_holders(state).groupBy("id", "th", "host").agg((~F.first("kept")).alias("depleted"), F.flatten(F.collect_list(F.when(lost, F.col("pos")))).alias("removed"))
+    return out
+
+
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
-    """docs without rejected rows and removed lines; same columns."""
-    lost = checkpoint(removed_lines(docs, id_col, text_col, host_col, max_line_docs))
-    lost = sized(lost.select(F.col("id").alias("rl_id"), F.col("th").alias("rl_th"), F.col("removed_words").alias("rl_words"), F.col("removed").alias("rl_removed")))
+    """docs without rejected rows and removed lines; same columns. Unlike the
+    verdicts of quality(), which are those of its SQL, an over-frequent line
+    stays in the first document that is kept, not in one that may be rejected."""
+    lost = checkpoint(settled_lines(docs, id_col, text_col, host_col, max_line_docs, max_removed_share))
+    lost = sized(lost.select(F.col("id").alias("rl_id"), F.col("th").alias("rl_th"), F.col("host").alias("rl_host"), F.col("depleted").alias("rl_depleted"), F.col("removed").alias("rl_removed")))
     t, box = docs[text_col], fresh(docs, "row")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(box), digest_of(t).alias("t_th"), base_metrics(t)["stats"].alias("t_stats"))
     whole = whole.where(~base_failed(F.col("t_stats.n_words"), F.col("t_stats.n_repeat_words")))
-    whole = whole.join(lost, F.col(box)[id_col].eqNullSafe(F.col("rl_id")) & (F.col("t_th") == F.col("rl_th")), "left")
-    whole = whole.where(F.coalesce("rl_words", F.lit(0)) <= max_removed_share * F.col("t_stats.n_words"))
+    whole = whole.join(lost, F.col(box)[id_col].eqNullSafe(F.col("rl_id")) & (F.col("t_th") == F.col("rl_th")) & F.col(box)[host_col].eqNullSafe(F.col("rl_host")), "left")
+    whole = whole.where(~F.coalesce("rl_depleted", F.lit(False)))
     text = without_lines(F.col(box)[text_col], F.col("rl_removed"))
     return whole.select(*[text.alias(c) if c == text_col else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(box)[c].alias(c) for c in docs.columns])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from readloom.llm import queries
+from readloom.llm import quality_rules, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,3 +22,16 @@ def test_sentencepiece_ids_and_text(spark, tmp_path):
     assert all(r["n_pieces"] == len(r["ids"]) for r in got)
     # U+2581 in a text is a space once decoded, in the library as well
     assert {r["doc_id"]: r["same_text"] for r in got} == {k: plain.decode(plain.encode(t or "")) == (t or "") for k, t, *_ in rows}
+
+
+def test_quality_keeps_one_copy(spark):
+    line = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    body, other = f"{line('a', 30)}\n{line('b', 30)}", line("x", 70)
+    rows = [(1, line("a", 30), "en", "near", 0), (2, line("b", 30), "en", "near", 0)]  # under 50 words: fail the base rules
+    rows += [(10 + k, f"{body}\nown{k}", "en", "near", 0) for k in range(40)]
+    # the first holder of a and b is itself depleted, by x
+    rows += [(100, f"{other}\n{line('y', 20)}", "en", "dep", 0), (101, f"{body}\n{other}", "en", "dep", 0)]
+    rows += [(110 + k, f"{body}\nown{k}", "en", "dep", 0) for k in range(40)] + [(160 + k, f"{other}\nown{k}", "en", "dep", 0) for k in range(40)]
+    got = {r["doc_id"]: r["text"] for r in quality_rules.quality_filter(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # 101 loses 70 of its 130 words
+    assert got == {k: t for k, t, *_ in rows if k in (10, 100, 110)}
