@@ -47,6 +47,7 @@ GRID = 2
 CHUNK = 2048
 SAMPLE = 4000
 SLACK = 1e-6  # on budgets, for rounding; the cosine itself is exact
+ROUNDING = 1e-9  # on coordinates and distances from matrix products
 
 
 def rotation(sample: np.ndarray, blocks: int) -> np.ndarray:
@@ -63,37 +64,53 @@ def block_sizes(dims: int, blocks: int) -> list[int]:
     return [len(range(k, dims, blocks)) for k in range(blocks)]
 
 
-def links_of(x: np.ndarray, rot: np.ndarray, low: np.ndarray, block: int, edges: list[int], budget: np.ndarray, cell: np.ndarray, width: float, cosine: float, two: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def links_of(x: np.ndarray, rot: np.ndarray, corner: np.ndarray, block: int, edges: list[int], budget: np.ndarray, cosine: float, two: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j), i < j, among members x (rows as given) of one cell of one
-    block that belong to this cell and are not found by an earlier block. two:
-    chunk of each member, if only pairs across two chunks are wanted."""
+    block that belong to this cell and are not found by an earlier block.
+    corner: for each member, a bit for each direction in which it is here by its
+    lower cell; a pair belongs to the cell where no bit is set in both. two:
+    chunk of each member, if only pairs across two chunks are wanted.
+
+    Matrix products differ in their last bits from batch to batch, so they only
+    screen, with slack; the block that counts a pair is told from sums in one
+    fixed order, which come out the same in every cell."""
     n = len(x)
     unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
     y = unit @ rot
     own = y[:, edges[block] : edges[block + 1]]
     sq = (own * own).sum(axis=1)
+    fixed: dict[int, np.ndarray] = {}
+
+    def rotated(k: int) -> np.ndarray:
+        if k not in fixed:
+            fixed[k] = (unit[k][:, None] * rot).sum(axis=0)
+        return fixed[k]
+
     out_i, out_j = [], []
     for at in range(0, n, 512):
         to = min(n, at + 512)
-        near = sq[at:to, None] + sq[None, at:] - 2 * own[at:to] @ own[at:].T <= budget[block]
+        near = sq[at:to, None] + sq[None, at:] - 2 * own[at:to] @ own[at:].T <= budget[block] + ROUNDING
         i, j = np.nonzero(near)
         i, j = i + at, j + at
         ok = i < j
         if two is not None:
             ok &= two[i] != two[j]
         i, j = i[ok], j[ok]
-        if len(i):  # pairs of this cell, found by no earlier block
-            g = len(cell)
-            ok = (np.floor(np.minimum(low[i], low[j])[:, :g] / width) == cell).all(axis=1)
-            i, j = i[ok], j[ok]
-        for b in range(block):
+        ok = corner[i] & corner[j] == 0  # pairs of this cell
+        i, j = i[ok], j[ok]
+        for b in range(block):  # those that an earlier block finds beyond doubt
             d = y[i, edges[b] : edges[b + 1]] - y[j, edges[b] : edges[b + 1]]
-            ok = (d * d).sum(axis=1) > budget[b]
+            ok = (d * d).sum(axis=1) > budget[b] - ROUNDING
             i, j = i[ok], j[ok]
         if len(i):
             dot = (x[i] * x[j]).sum(axis=1) / (np.sqrt((x[i] * x[i]).sum(axis=1)) * np.sqrt((x[j] * x[j]).sum(axis=1)))
-            out_i.append(i[dot >= cosine])
-            out_j.append(j[dot >= cosine])
+            i, j = i[dot >= cosine], j[dot >= cosine]
+        if len(i):
+            d = np.stack([rotated(k) for k in i.tolist()]) - np.stack([rotated(k) for k in j.tolist()])
+            near = np.stack([(d[:, edges[b] : edges[b + 1]] ** 2).sum(axis=1) <= budget[b] for b in range(block + 1)], axis=1)
+            ok = near[:, block] & ~near[:, :block].any(axis=1)  # found here, by no earlier block
+            out_i.append(i[ok])
+            out_j.append(j[ok])
     none = np.empty(0, np.int64)
     return np.concatenate(out_i) if out_i else none, np.concatenate(out_j) if out_j else none
 
@@ -154,21 +171,22 @@ def _members(classes: DataFrame, cosine: float, blocks: int, grid: int, chunk: i
                 continue
             v = np.stack(b["v"].to_numpy()).astype(float)
             y = v / np.sqrt((v * v).sum(axis=1))[:, None] @ rot
-            at, block, cells = [], [], []
+            at, block, corners, cells = [], [], [], []
             for k in range(blocks):
                 z = y[:, edges[k] : edges[k] + g]
-                hi, lo = np.floor(z / width).astype(np.int64), np.floor((z - r) / width).astype(np.int64)
+                hi, lo = np.floor(z / width).astype(np.int64), np.floor((z - r - ROUNDING) / width).astype(np.int64)
                 for corner in range(2**g):
                     pick = np.array([corner >> i & 1 for i in range(g)], bool)
                     ok = ((hi != lo) | ~pick).all(axis=1)  # the lower cell only where it differs
                     at.append(np.flatnonzero(ok))
                     block.append(np.full(int(ok.sum()), k))
+                    corners.append(np.full(int(ok.sum()), corner))
                     cells.append(np.where(pick, lo, hi)[ok])
             at = np.concatenate(at)
             cell = np.concatenate(cells)
-            yield pd.DataFrame({"c": b["c"].to_numpy()[at], "label": b["label"].to_numpy()[at], "block": np.concatenate(block), "cell": list(map(list, cell.tolist()))})
+            yield pd.DataFrame({"c": b["c"].to_numpy()[at], "label": b["label"].to_numpy()[at], "block": np.concatenate(block), "corner": np.concatenate(corners), "cell": list(map(list, cell.tolist()))})
 
-    slim = classes.select("c", "label", "v").mapInPandas(deal, "c long, label string, block int, cell array<long>")
+    slim = classes.select("c", "label", "v").mapInPandas(deal, "c long, label string, block int, corner int, cell array<long>")
     keyed = checkpoint(slim)
     keys = ["label", "block", "cell"]
     big = keyed.groupBy(*keys).count().where(F.col("count") > 1)
@@ -176,7 +194,7 @@ def _members(classes: DataFrame, cosine: float, blocks: int, grid: int, chunk: i
     keyed = keyed.join(sized(big, 96), (F.col("label") == F.col("g_label")) & (F.col("block") == F.col("g_block")) & (F.col("cell") == F.col("g_cell")))
     own = F.pmod(F.xxhash64("c"), F.col("cuts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, own).alias("c1"), F.greatest(k, own).alias("c2")))
-    keyed = keyed.select("c", *keys, own.alias("own"), F.inline(pairs))
+    keyed = keyed.select("c", "corner", *keys, own.alias("own"), F.inline(pairs))
     # vectors travel once to each cell and chunk pair
     whole = keyed.join(classes.select("c", F.col("v").cast("array<float>").alias("f"), F.when(F.col("v").cast("array<float>").cast("array<double>") != F.col("v"), F.col("v")).alias("v"), "weight"), "c")
     group = F.concat_ws("|", "block", "c1", "c2", F.array_join(F.col("cell").cast("array<string>"), ","), "label")
@@ -184,10 +202,9 @@ def _members(classes: DataFrame, cosine: float, blocks: int, grid: int, chunk: i
 
     def compare(b: pd.DataFrame) -> pd.DataFrame | None:
         x = np.stack([f if v is None else v for f, v in zip(b["f"], b["v"], strict=True)]).astype(float)
-        block, cell = int(b["block"].iloc[0]), np.array(b["cell"].iloc[0], float)
-        low = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ rot[:, edges[block] : edges[block] + g]
+        block = int(b["block"].iloc[0])
         two = b["own"].to_numpy() if b["c1"].iloc[0] != b["c2"].iloc[0] else None
-        i, j = links_of(x, rot, low, block, edges, budget, cell, width, cosine, two)
+        i, j = links_of(x, rot, b["corner"].to_numpy(), block, edges, budget, cosine, two)
         if not len(i):
             return None
         c, w = b["c"].to_numpy(np.int64), b["weight"].to_numpy(float)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 
-from readloom.llm import quality_rules, queries
+from readloom.llm import embed_dedup, quality_rules, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +36,16 @@ def test_quality_keeps_one_copy(spark):
     got = {r["doc_id"]: r["text"] for r in quality_rules.quality_filter(spark.createDataFrame(rows, SCHEMA)).collect()}
     # 101 loses 70 of its 130 words
     assert got == {k: t for k, t, *_ in rows if k in (10, 100, 110)}
+
+
+def test_embeddings_of_low_rank(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-3, 4, (400, 3)) @ rng.integers(-2, 3, (3, 64))
+    x = np.unique(x[(x != 0).any(axis=1)], axis=0).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosines = unit @ unit.T
+    np.fill_diagonal(cosines, 0)
+    assert (abs(cosines - embed_dedup.COSINE) > 1e-9).all()
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_links(df).collect()}
+    assert got == dict(enumerate((cosines >= embed_dedup.COSINE).sum(axis=1).tolist()))
