@@ -13,8 +13,7 @@ wins, and that count over n is the score.
 Training counts n-grams over a sample of labelled documents, at most about
 ``sample_docs`` a language, taken by a hash of the id; n-gram counts are summed
 on the executors and at most ``max_grams`` a language (the commonest) reach the
-driver, so the model has a fixed bound: 2**bits rows of 8 bytes.
-Up to 64 languages.
+driver, so the model is bounded: 2**bits rows of 8 bytes for each 64 languages.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0;
 rows with a null label do not train; without any training row everything is
@@ -108,11 +107,11 @@ class Model:
         if not some or not self.langs:
             return names, scores
         h, owner = grams([texts[i] for i in some], self.n)
-        mask = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
+        mask = np.full((len(h), self.rows.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
         for at in _slots(h, self.bits, self.hashes):
             mask &= self.rows[at]
         total = np.bincount(owner, minlength=len(some)).astype(float)
-        count = np.stack([np.bincount(owner, weights=((mask >> np.uint64(j)) & np.uint64(1)).astype(float), minlength=len(some)) for j in range(len(self.langs))], axis=1)
+        count = np.stack([np.bincount(owner, weights=((mask[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).astype(float), minlength=len(some)) for j in range(len(self.langs))], axis=1)
         right = np.clip((count - total[:, None] * self.rates) / (1 - self.rates), 0, None)
         best = right.argmax(axis=1)
         for j, i in enumerate(some):
@@ -126,9 +125,7 @@ class Model:
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, hashes: int = HASHES, n: int = N, min_share: float = MIN_SHARE) -> Model:
     """counts: language -> (n-gram codes, their counts, all n-grams seen)."""
     langs = tuple(sorted(counts))
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
-    rows = np.zeros(1 << bits, np.uint64)
+    rows = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), np.uint64)
     share: dict[str, tuple[np.ndarray, np.ndarray]] = {x: (c, v / max(1, total)) for x, (c, v, total) in counts.items()}
     codes = np.concatenate([c for c, _ in share.values()]) if langs else np.empty(0, np.uint64)
     every, inverse = np.unique(codes, return_inverse=True)
@@ -139,8 +136,8 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray, int]], bits: int = BIT
         c, v = share[x]
         most = top[np.searchsorted(every, c)]
         for slot in _slots(c[v >= min_share * most], bits, hashes):
-            rows[slot] |= np.uint64(1 << j)
-        fill = float(((rows >> np.uint64(j)) & np.uint64(1)).mean())
+            rows[slot, j // 64] |= np.uint64(1 << j % 64)
+        fill = float(((rows[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean())
         rates.append(min(fill**hashes, 0.999))
     return Model(langs, rows, np.array(rates), bits, hashes, n)
 
@@ -153,9 +150,10 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int =
     if not sizes:
         return build({}, bits, hashes, n)
     unit = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1_000_000
-    most = F.lit(0.0)
-    for x, size in sizes.items():
-        most = F.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / size))).otherwise(most)
+    most = F
+    for x, size in sizes.items():  # one flat choice
+        most = most.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / size)))
+    most = most.otherwise(F.lit(0.0))
     picked = rows.where(unit < most).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

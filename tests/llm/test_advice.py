@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from readloom.llm import embed_dedup, quality_rules, queries
+from readloom.llm import embed_dedup, lang_id, quality_rules, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +49,14 @@ def test_embeddings_of_low_rank(spark):
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_links(df).collect()}
     assert got == dict(enumerate((cosines >= embed_dedup.COSINE).sum(axis=1).tolist()))
+
+
+def test_more_than_64_languages():
+    texts = {f"l{k:03d}": f"{chr(0x4E00 + 20 * k)}{chr(0x4E01 + 20 * k)}{chr(0x4E02 + 20 * k)}" * 5 for k in range(150)}
+    counts = {}
+    for x, t in texts.items():
+        codes, times = np.unique(lang_id.grams([t])[0], return_counts=True)
+        counts[x] = (codes, times.astype(float), int(times.sum()))
+    names, scores = lang_id.build(counts).predict(list(texts.values()))
+    assert names == list(texts)
+    assert (scores > 0.9).all()
