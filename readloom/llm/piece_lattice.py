@@ -1,59 +1,75 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text is escaped as the model asks (a leading mark, ``U+2581`` for a space)
-and cut into words, each a run of marks and what follows them up to the next
-mark, line feed, or (after letters) a punctuation mark that no piece has there;
-no piece reaches over such a cut. The distinct words are
-exploded into substrings no longer than the longest piece, which are equi-joined
-with the piece table (a parameter of fixed size, broadcast). The matches are the
-edges of a word's lattice; they are grouped by word and folded with
-``aggregate`` into the word's ids:
-
-* unigram models: Viterbi. The state is the best (score, start, id) for each
-  end; the fold goes over ends and then walks back.
-* BPE models: best-path search gives other ids than the SentencePiece library,
-  whose BPE merges greedily, so the fold merges: the state is the next boundary
-  after each boundary, and each step takes the edge of best score (ties: the
-  leftmost) that spans two adjacent symbols.
-
-A character without a piece becomes its UTF-8 bytes' pieces. Words longer than
-``LONG`` characters take the same fold in Python with a heap, since a fold's
-cost grows with the square of the length; they are exact too.
-
-Encoded words go back to their documents by a join: the ``hot`` commonest words
-of a bounded sample are broadcast, so that they are resolved where the text is,
-and other words are shuffled. Which words are hot has no effect on results.
+and cut into words where no piece reaches over: at line feeds, before a run of
+marks, after letters before punctuation that no piece has there; longer words
+also between any two characters that are adjacent in no piece. One pass over
+the texts keeps each document's words as places in a dictionary of its chunk
+(``chunk_chars`` characters of a task's documents at most), written to a file in
+the shared folder, and gives the dictionaries' rows. Then, for distinct words:
+
+* each is exploded into its substrings no longer than the longest piece, which
+  are equi-joined with the piece table (a parameter of fixed size, broadcast);
+* the matches, which are the edges of the word's lattice, are grouped by word
+  (two 64-bit hashes) and folded with ``aggregate`` into the word's ids:
+
+  - unigram models: Viterbi. The fold over edges by end keeps the best (score,
+    start) of each end; a second one walks back.
+  - BPE models: best-path search gives other ids than the SentencePiece
+    library, whose BPE merges greedily, so the fold merges. The state is the
+    next boundary after each boundary; the edge of best score (ties: the
+    leftmost) that spans two adjacent symbols makes them one, again and again.
+
+A character without a piece becomes its UTF-8 bytes' pieces. Words of any
+length take the same way. The answers go back to their chunks' dictionaries,
+and documents are put together there: what is shuffled is dictionaries, never
+texts or occurrences of words.
 
 Defined cases: null or empty text has no ids and decodes to the empty text;
-repeated rows share a result (each is returned); an empty table gives an empty
-result.
+repeated rows each get a row; a null id is kept; an empty table gives an empty
+result; only the id and text columns are read, so others cannot clash; long
+texts and words are whole (a word's edges are one row: a run of one character
+costs more than its length). Ids that decode to bytes which are not UTF-8 give
+U+FFFD for each such byte, unknown ids `` U+2047 ``, control ids nothing, as in
+the library; an id outside the model raises ValueError.
 """
 
 from __future__ import annotations
 
-import heapq
+import codecs
 import re
 import string
 import struct
-import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import shared_dir
 from ..shipping import ship
-from .common import checkpoint, digest_of, let
+from .common import digest_of
 
 MARK = "▁"
-LONG = 60
-HOT = 200_000
-SAMPLE_DOCS = 20_000
+UNKNOWN_TEXT = " ⁇ "
+#: Words beyond this are also cut between characters that no piece holds side by side.
+CUT_BEYOND = 32
+#: Characters of texts that share a dictionary, and words of a document batch.
+CHUNK_CHARS = 64 << 20
+BATCH_WORDS = 200_000
+#: Dictionary rows of a task that folds words.
+FOLD_ROWS = 250_000
+#: Characters of a word that are exploded at a time.
+SPAN = 256
 UNIGRAM, BPE = 1, 2
-NORMAL, BYTE = 1, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNK_PENALTY = 10.0
+_LETTER = r"[^\W\d_]"
 
 
 @dataclass(frozen=True)
@@ -64,18 +80,38 @@ class Pieces:
     table: tuple[tuple[str, float, int], ...]
     byte0: int
     prefix: bool
+    unknown: tuple[int, ...] = (0,)
+    control: tuple[int, ...] = (1, 2)
+
+    @cached_property
+    def pairs(self) -> set[str]:
+        """Characters that stand side by side in a piece."""
+        return {a + b for p, _, _ in self.table for a, b in zip(p, p[1:], strict=False)}
 
     @cached_property
     def after_letter(self) -> str:
         """ASCII punctuation that no piece has right after a letter; a text can
         be cut before it there, as no edge of the lattice reaches over."""
-        joined = {b for p, _, _ in self.table for a, b in zip(p, p[1:], strict=False) if unicodedata.category(a)[0] == "L"}
+        joined = {x[1] for x in self.pairs if re.match(_LETTER, x[0])}
         return "".join(c for c in string.punctuation if c not in joined)
 
     @cached_property
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.table), default=1)
 
+    def ranked(self) -> list[tuple[str, float, int, int, bool]]:
+        """(piece, score, id, rank, alone): rank ascends as scores fall; alone
+        tells that every longer piece that holds this one ranks behind it."""
+        order = {s: k for k, s in enumerate(sorted({s for _, s, _ in self.table}, reverse=True))}
+        rank = {p: order[s] for p, s, _ in self.table}
+        least: dict[str, int] = {}
+        for p, r in rank.items():
+            for i in range(len(p)):
+                for j in range(i + 2, len(p) + 1):
+                    if j - i < len(p) and r < least.get(p[i:j], 1 << 30):
+                        least[p[i:j]] = r
+        return [(p, s, i, rank[p], least.get(p, 1 << 30) > rank[p]) for p, s, i in self.table]
+
 
 def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
     """Fields of a protocol buffer message."""
@@ -104,7 +140,8 @@ def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 def load(path: str) -> Pieces:
     """Read a model file. Raises NotImplementedError for what the lattice does
-    not cover: a normalisation other than identity, no byte pieces."""
+    not cover: a normalisation other than identity, no byte pieces, pieces of
+    the user or out of use."""
     pieces, trainer, norm = [], {}, {}
     with open(path, "rb") as f:
         for k, v in _fields(f.read()):
@@ -115,217 +152,345 @@ def load(path: str) -> Pieces:
                 trainer = dict(_fields(v))
             elif k == 3:
                 norm = dict(_fields(v))
-    byte = [i for i, p in enumerate(pieces) if p[2] == BYTE]
-    kind = trainer.get(3, UNIGRAM)
-    odd = norm.get(2) or norm.get(4, 1) or not norm.get(5, 1) or len(byte) != 256 or byte != list(range(byte[0], byte[0] + 256)) or kind not in (UNIGRAM, BPE)
+    of = lambda kind: tuple(i for i, p in enumerate(pieces) if p[2] == kind)
+    byte, kind = of(BYTE), trainer.get(3, UNIGRAM)
+    odd = norm.get(2) or norm.get(4, 1) or not norm.get(5, 1) or len(byte) != 256 or byte != tuple(range(byte[0], byte[0] + 256)) or kind not in (UNIGRAM, BPE)
+    odd = odd or any(t not in (NORMAL, UNKNOWN, CONTROL, BYTE) for _, _, t in pieces)
     table = tuple((p, s, i) for i, (p, s, t) in enumerate(pieces) if t == NORMAL)
     if odd or any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in table):
         raise NotImplementedError("this model's normalisation, pieces or type")
-    return Pieces(kind, table, byte[0], bool(norm.get(3, 1)))
-
+    return Pieces(kind, table, byte[0], bool(norm.get(3, 1)), of(UNKNOWN), of(CONTROL))
+
+
+# -- words ------------------------------------------------------------------
+
+
+class Words(dict):
+    """Places of words, given as they come up. Long words are not taken up
+    before they are cut; ``cut`` tells that one came."""
+
+    def __init__(self, model: Pieces):
+        stop = "".join(map(re.escape, model.after_letter))
+        first = rf" *{_LETTER}++(?=[{stop}])|" if stop else ""
+        self.find = re.compile(first + r"\n| *[^ \n]+| +").findall
+        self.model, self.cut, self.whole = model, False, False
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > CUT_BEYOND and not self.whole:
+            self.cut = True
+            return 0
+        at = self[word] = len(self)
+        return at
+
+    def parts(self, word: str) -> list[str]:
+        """A long word cut where no piece reaches over."""
+        if len(word) <= CUT_BEYOND:
+            return [word]
+        known, w = self.model.pairs, word.replace(" ", MARK)
+        cuts = [0, *[i for i in range(1, len(w)) if w[i - 1 : i + 1] not in known], len(w)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def places(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        text = text.replace(MARK, " ")
+        words = self.find(" " + text if self.model.prefix else text)
+        self.cut = False
+        got = list(map(self.__getitem__, words))
+        if self.cut:
+            self.whole = True
+            got = list(map(self.__getitem__, [p for w in words for p in self.parts(w)]))
+            self.whole = False
+        return np.array(got, np.int32)
+
+
+def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(chunk, at, word): the dictionary of each chunk, and at place -1 the
+    file that holds the chunk's documents as (id, th, words). A task writes
+    files under names of its own attempt; the rows are written to a table, so
+    only files of attempts that succeeded are ever named."""
+    spark = docs.sparkSession
+    ship(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, top = FileSystem.from_uri(folder)
+        fs.create_dir(f"{top}/docs", recursive=True)
+        own, out, path, chars, held, size = Words(model), None, "", 0, [], 0
+
+        def flush() -> None:
+            nonlocal out, path, held, size
+            if not held:
+                return
+            ids, th, words = zip(*held, strict=True)
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            b = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(th, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(words))], ["id", "th", "words"])
+            if out is None:
+                path = f"{top}/docs/{uuid.uuid4().hex}.arrow"
+                out = pa.ipc.new_file(fs.open_output_stream(path), b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            out.write_batch(b)
+            held, size = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal out, own, chars
+            flush()
+            if out is not None:
+                out.close()
+                chunk = uuid.uuid4().int >> 65
+                words = [w.replace(" ", MARK) for w in own]
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "at": pa.array([-1], pa.int32()), "word": pa.array([path])})
+                for k in range(0, len(words), 50_000):
+                    part = words[k : k + 50_000]
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(part), chunk)), "at": pa.array(np.arange(k, k + len(part), dtype=np.int32)), "word": pa.array(part, pa.string())})
+            out, own, chars = None, Words(model), 0
 
-def word_pattern(model: Pieces) -> str:
-    stop = "".join(f"\\x{ord(c):02x}" for c in model.after_letter)
-    first = rf"{MARK}*\p{{L}}++(?=[{stop}])|" if stop else ""
-    return first + f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
+        for b in batches:
+            for k, text in enumerate(b.column("text")):
+                words = own.places(text.as_py())
+                held.append((b.column("id")[k : k + 1], b.column("th")[k].as_py(), words))
+                size += len(words) + 100
+                chars += len(text.as_py() or "")
+                if size > BATCH_WORDS:
+                    flush()
+                if chars > chunk_chars:
+                    yield from close()
+        yield from close()
 
+    rows = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    rows.mapInArrow(run, "chunk long, at int, word string").write.parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows")
 
-def words_of(text: Column, model: Pieces) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    full = F.concat(F.lit(MARK if model.prefix else ""), F.replace(t, F.lit(" "), F.lit(MARK)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(full, F.lit(word_pattern(model)), F.lit(0)))
 
+# -- folds ------------------------------------------------------------------
 
-def _ids(model: Pieces) -> str:
-    """Ids of the symbols ``cuts`` (s, e): pieces, or the bytes of a character
-    without one. singles has an edge for each character, in order."""
-    h = "hex(encode(substring(word, c.s + 1, 1), 'utf-8'))"
-    raw = f"transform(sequence(0, length({h}) div 2 - 1), k -> cast(conv(substring({h}, 2 * k + 1, 2), 16, 10) as int) + {model.byte0})"
-    return f"""flatten(transform(cuts, c -> if(c.e - c.s = 1,
-      transform(array(get(singles, c.s).id), o -> if(o is null, {raw}, array(o)))[0],
-      array(filter(many, x -> x.s = c.s and x.e = c.e)[0].id))))"""
+_NONE = "cast(-1 as int)"
 
 
-def _merge(model: Pieces) -> str:
-    """BPE: a fold that joins two adjacent symbols a step. The state is a bit
-    set of boundaries; an edge fits when both its ends are boundaries and one
-    boundary lies between."""
-    return f"""transform(array(aggregate(
-      if(size(many) = 0, cast(array() as array<int>), sequence(1, least(n - 1, size(many)))),
-      named_struct('m', shiftleft(1L, n + 1) - 1, 'more', true),
-      (a, i) -> if(not a.more, a, transform(array(get(filter(many, x -> (a.m & x.ends) = x.ends and bit_count(a.m & x.mid) = 1), 0)),
-        b -> if(b is null, named_struct('m', a.m, 'more', false), named_struct('m', a.m & ~b.mid, 'more', true)))[0]),
-      a -> a.m)), m -> transform(array(filter(sequence(0, n), i -> (m & shiftleft(1L, i)) <> 0)),
-        at -> transform(slice(at, 1, size(at) - 1), (s, i) -> named_struct('s', s, 'e', at[i + 1])))[0])[0]"""
+def _merge() -> str:
+    """BPE. nx[i]: where the symbol that starts at i ends, -1 if none starts
+    there. An edge fits when it spans two symbols. ``many`` is in order of
+    (rank, start); a pass makes every edge that fits one symbol, until one whose
+    piece may be overtaken by a longer piece around it: the next pass is from
+    the first edge again."""
+    joined = f"concat(slice(a.nx, 1, x.s), array(x.e), array_repeat({_NONE}, x.e - x.s - 1), slice(a.nx, x.e + 1, n - x.e))"
+    one = f"if(a.again or not coalesce(get(a.nx, get(a.nx, x.s)) = x.e, false), a, named_struct('nx', {joined}, 'again', not x.mark))"
+    each = f"aggregate(many, named_struct('nx', p.nx, 'again', false), (a, x) -> {one})"
+    return f"""aggregate(if(size(many) = 0, cast(array() as array<int>), sequence(1, n)),
+      named_struct('nx', sequence(1, n), 'again', true), (p, i) -> if(not p.again, p, {each}), p -> p.nx)"""
 
 
 def _viterbi(model: Pieces) -> str:
-    """Unigram: a fold over ends that keeps the best (score, start) of each
-    (ties: the smallest start), and one that walks back."""
+    """Unigram. ``by_end`` is in order of (end, start); a tie keeps the
+    smallest start. The walk back lays out nx as _merge() does."""
     unk = f"cast({min((x for _, x, _ in model.table), default=0.0) - UNK_PENALTY!r} as float)"
-    ways = f"""transform(filter(edges, x -> x.e = e), x -> named_struct('score', cast(best[x.s].score + if(x.id is null, {unk}, x.score) as float), 's', x.s))"""
-    top = "aggregate(%s, named_struct('score', cast('-Infinity' as float), 's', -1), (a, w) -> if(w.score > a.score or w.score = a.score and w.s < a.s, w, a))" % ways
-    forth = f"aggregate(sequence(1, n), array(named_struct('score', cast(0 as float), 's', 0)), (best, e) -> concat(best, array({top})))"
-    back = "aggregate(sequence(1, n), named_struct('at', n, 'cuts', cast(array() as array<struct<s:int,e:int>>)), (a, i) -> if(a.at = 0, a, named_struct('at', best[a.at].s, 'cuts', concat(array(named_struct('s', best[a.at].s, 'e', a.at)), a.cuts))), a -> a.cuts)"
+    start = "named_struct('score', cast(0 as float), 's', 0)"
+    way = f"named_struct('score', cast(if(size(a.best) = x.e, a.best, concat(a.best, array(a.top)))[x.s].score + if(x.mark, {unk}, x.score) as float), 's', x.s)"
+    step = f"""transform(array({way}), w -> if(size(a.best) = x.e,
+        named_struct('best', a.best, 'top', if(w.score > a.top.score, w, a.top)),
+        named_struct('best', concat(a.best, array(a.top)), 'top', w)))[0]"""
+    # best[e] for ends before the open one, whose best so far is top
+    forth = f"aggregate(by_end, named_struct('best', cast(array() as array<struct<score:float,s:int>>), 'top', {start}), (a, x) -> {step}, a -> concat(a.best, array(a.top)))"
+    back = f"""aggregate(sequence(1, n), named_struct('at', n, 'nx', cast(array() as array<int>)), (a, i) -> if(a.at = 0, a,
+        transform(array(best[a.at].s), s -> named_struct('at', s, 'nx', concat(array(a.at), array_repeat({_NONE}, a.at - s - 1), a.nx)))[0]), a -> a.nx)"""
     return f"transform(array({forth}), best -> {back})[0]"
 
 
-def encode_long(word: str, model: Pieces, table: dict[str, tuple[float, int]]) -> list[int]:
-    """The same folds for a long word, in Python."""
-    n, most = len(word), model.longest
-    bare = lambda s: [model.byte0 + b for b in word[s].encode("utf-8", "surrogatepass")]
-    if model.kind == UNIGRAM:
-        import numpy as np
-
-        unk = np.float32(min((s for s, _ in table.values()), default=0.0) - UNK_PENALTY)
-        best, start = [np.float32(0)] + [np.float32("-inf")] * n, [0] * (n + 1)
-        for e in range(1, n + 1):
-            for s in range(max(0, e - most), e):
-                score = table[word[s:e]][0] if word[s:e] in table else unk if s == e - 1 else None
-                if score is not None and best[s] + np.float32(score) > best[e]:
-                    best[e], start[e] = best[s] + np.float32(score), s
-        cuts, e = [], n
-        while e:
-            cuts.append((start[e], e))
-            e = start[e]
-        cuts.reverse()
-    else:
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(s: int) -> None:
-            if s >= 0 and after[s] < n:
-                e = after[after[s]]
-                if e - s <= most and word[s:e] in table:
-                    heapq.heappush(heap, (-table[word[s:e]][0], s, e))
-
-        for s in range(n):
-            offer(s)
-        while heap:
-            _, s, e = heapq.heappop(heap)
-            if after[s] <= 0 or after[s] >= n or after[after[s]] != e:
-                continue
-            after[after[s]], after[s] = -1, e
-            if e < n:
-                before[e] = s
-            offer(before[s])
-            offer(s)
-        cuts = [(s, e) for s, e in enumerate(after) if e > 0]
-    return [i for s, e in cuts for i in ([table[word[s:e]][1]] if word[s:e] in table else bare(s))]
-
-
-def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """(word, ids) for the distinct, non-empty words of column ``word``."""
+def _bytes_of(c: str) -> str:
+    """Byte pieces' places of a character, from its code point."""
+    tail = lambda k: f"128 | (shiftright({c}, {k}) & 63)"
+    return f"""case when {c} < 128 then array({c}) when {c} < 2048 then array(192 | shiftright({c}, 6), {tail(0)})
+      when {c} < 65536 then array(224 | shiftright({c}, 12), {tail(6)}, {tail(0)}) else array(240 | shiftright({c}, 18), {tail(12)}, {tail(6)}, {tail(0)}) end"""
+
+
+def solved(words: DataFrame, model: Pieces) -> DataFrame:
+    """(w1, w2, ids) of distinct (w1, w2, word); w1 and w2 tell words apart and
+    rows are dealt by them. For BPE an edge is one number, so that edges are
+    gathered and sorted as such: rank (singles: above all), start, length, then
+    the id (a single without a piece: its code point) and a mark (alone; a
+    single without a piece)."""
     spark = words.sparkSession
     ship(spark)
-    table = spark.createDataFrame(list(model.table), "piece string, score float, id int")
-    most = model.longest
-    distinct = words.select("word").distinct()
-    n = F.char_length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e")))))
-    sub = distinct.where(n <= LONG).select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.e", F.expr("substring(word, x.s + 1, x.e - x.s)").alias("piece"))
-    edges = sub.join(F.broadcast(table), "piece", "left").where("id is not null or e - s = 1")
-    edges = edges.groupBy("word").agg(F.collect_list(F.struct("s", "e", "score", "id")).alias("edges"))
-    edges = edges.select("word", F.char_length("word").alias("n"), "edges")
-    order = "array_sort(transform(filter(edges, x -> x.e - x.s > 1), x -> named_struct('rank', -x.score, 's', x.s, 'e', x.e, 'id', x.id, 'ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'mid', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1))))"
-    fold = _viterbi(model) if model.kind == UNIGRAM else _merge(model)
-    whole = f"""transform(array(named_struct('many', {order}, 'singles', array_sort(filter(edges, x -> x.e - x.s = 1)))),
-      w -> transform(array({fold}), cuts -> {_ids(model)})[0])[0]"""
-    whole = re.sub(r"\b(many|singles)\b(?!')", r"w.\1", whole)
-    short = edges.select("word", F.expr(whole).alias("ids"))
-
-    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {p: (s, i) for p, s, i in model.table}
+    most, ranked = model.longest, model.ranked()
+    table = spark.createDataFrame(ranked, "piece string, score float, id int, rank int, alone boolean")
+    long = words.select("w1", "w2", "word", F.explode(F.expr(f"sequence(0, cast((char_length(word) - 1) div {SPAN} as int))")).alias("k"))
+    long = long.select("w1", "w2", "k", F.expr(f"substring(word, k * {SPAN} + 1, {SPAN + most - 1})").alias("part"))
+    at = long.select("w1", "w2", "k", "part", F.explode(F.expr(f"sequence(0, least({SPAN}, char_length(part)) - 1)")).alias("i"))
+    at = at.select("w1", "w2", F.expr(f"k * {SPAN} + i").alias("s"), F.expr(f"substring(part, i + 1, {most})").alias("tail"))
+    sub = at.select("w1", "w2", "s", "tail", F.explode(F.expr("sequence(1, char_length(tail))")).alias("m"))
+    sub = sub.select("w1", "w2", "s", "m", F.substring("tail", F.lit(1), F.col("m")).alias("piece"))
+    # the join is on a hash, which Spark looks up fast; the pieces themselves are compared after it
+    table = table.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "score", "id", "rank", "alone")
+    edges = sub.join(F.broadcast(table), F.xxhash64("piece") == F.col("key"), "left")
+    edges = edges.withColumn("id", F.expr("if(piece <=> known, id, null)")).where("id is not null or m = 1")
+    if model.kind == UNIGRAM:
+        edge, name, fold = "named_struct('e', s + m, 's', s, 'score', score, 'id', coalesce(id, ascii(piece)), 'mark', id is null)", "by_end", _viterbi(model)
+        each, order = "edges", "array_sort(every)"
+    else:
+        ids, size = max(21, max((i for _, _, i in model.table), default=0).bit_length()), most.bit_length()
+        top = max((r for *_, r, _ in ranked), default=0) + 1
+        room = 63 - 1 - ids - size - top.bit_length()
+        part = lambda low, bits: f"cast(shiftright(x, {low}) & {(1 << bits) - 1} as int)"
+        far = f"if(s >= {1 << room}, raise_error('a word of {1 << room} characters or more that cannot be cut'), cast(s as bigint))"
+        edge = f"shiftleft(cast(if(m = 1, {top}, rank) as bigint), {room + size + ids + 1}) | shiftleft({far}, {size + ids + 1}) | shiftleft(cast(m as bigint), {ids + 1}) | shiftleft(cast(coalesce(id, ascii(piece)) as bigint), 1) | cast(if(m = 1, id is null, alone) as bigint)"
+        each = f"transform(sort_array(edges), x -> transform(array({part(size + ids + 1, room)}), s -> named_struct('s', s, 'e', s + {part(ids + 1, size)}, 'id', {part(1, ids)}, 'mark', (x & 1) = 1))[0])"
+        name, order, fold = "many", "filter(every, x -> x.e - x.s > 1)", _merge()
+    edges = edges.select("w1", "w2", F.expr(edge).alias("x"), (F.col("s") + F.col("m")).alias("e"))
+    edges = edges.groupBy("w1", "w2").agg(F.max("e").alias("n"), F.collect_list("x").alias("edges"))
+    single = "x.mark and x.e - x.s = 1"
+    spelled = f"flatten(transform(found, x -> if({single}, transform({_bytes_of('x.id')}, b -> b + {model.byte0}), array(x.id))))"
+    found = "sort_array(transform(filter(every, x -> get(nx, x.s) = x.e), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id, 'mark', x.mark)))"
+    ids_of = f"transform(array({found}), found -> if(exists(found, x -> {single}), {spelled}, transform(found, x -> x.id)))[0]"
+    whole = f"transform(array({each}), every -> transform(array({order}), {name} -> transform(array({fold}), nx -> {ids_of})[0])[0])[0]"
+    return edges.select("w1", "w2", F.expr(whole).alias("ids"))
+
+
+def answers(rows: DataFrame, model: Pieces) -> DataFrame:
+    """(chunk, at, ids) of dictionary rows (chunk, at, word)."""
+    w1, w2 = F.xxhash64("word"), F.xxhash64(F.lit("word"), "word")
+    n = max(1, -(-rows.count() // FOLD_ROWS))
+    dealt = rows.repartition(n, w1, w2).select("chunk", "at", "word", w1.alias("w1"), w2.alias("w2"))
+    # chunk and at are kept in sight, so that both sides read the same shuffle
+    distinct = dealt.groupBy("w1", "w2", "word").agg(F.min("chunk").alias("c"), F.min("at").alias("a")).where("a >= 0 and c >= 0").select("w1", "w2", "word")
+    return dealt.join(solved(distinct, model), ["w1", "w2"]).select("chunk", "at", "ids")
+
+
+# -- documents --------------------------------------------------------------
+
+codecs.register_error("readloom-each", lambda e: ("�", e.start + 1))
+
+
+class Decoder:
+    """Id sequences to texts, many at once."""
+
+    def __init__(self, model: Pieces):
+        known = {i: p.replace(MARK, " ").encode() for p, _, i in model.table} | {model.byte0 + b: bytes([b]) for b in range(256)}
+        known |= {i: UNKNOWN_TEXT.encode() for i in model.unknown} | {i: b"" for i in model.control}
+        every = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.size = np.array([len(x) for x in every], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(every), np.uint8)
+        self.known = np.isin(np.arange(len(every)), list(known))
+        self.silent = np.isin(np.arange(len(every)), model.control)
+        self.leads = np.zeros(len(every), bool)  # normal pieces that start with a space
+        if model.prefix:
+            self.leads[[i for p, _, i in model.table if p.startswith(MARK)]] = True
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of the sequences that ids[ends[k]:ends[k + 1]] are."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.known[ids].all()):
+            raise ValueError("an id is outside the model")
+        size, start = self.size[ids], self.start[ids]
+        loud = np.flatnonzero(~self.silent[ids])
+        first = np.searchsorted(loud, ends[:-1])
+        some = first < len(loud)
+        at = loud[first[some]]
+        at = at[(at < ends[1:][some]) & self.leads[ids[at]]]
+        size[at] -= 1  # the space that the model put in front
+        start[at] += 1
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        data = self.flat[np.arange(total) - np.repeat(to - size - start, size)].tobytes()
+        cut = np.concatenate([[0], to])[ends]
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            return pa.array([data[a:b].decode("utf-8", "readloom-each") for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.string())
+        whole = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)])
+        return whole if total >= 1 << 31 else whole.cast(pa.string())
+
+
+def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataType) -> DataFrame:
+    """(id, th, n_words, ids, text) of every document of the chunks: text is
+    decoded from the ids. found: answers; rows: dictionaries."""
+    spark = rows.sparkSession
+    files = rows.where("at < 0")
+    n = max(1, files.count())
+    every = found.select("chunk", "at", "ids", F.lit(None).cast("string").alias("path")).unionByName(files.select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), F.col("word").alias("path")))
+    folder = shared_dir(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, _ = FileSystem.from_uri(folder)
+        decoder = Decoder(model)
+
+        def of(path: str, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = np.concatenate([p.column("at").to_numpy() for p in parts] or [np.empty(0, np.int32)])
+            if (at != np.arange(len(at))).any():
+                raise ValueError(f"{path}: words of the dictionary are missing")
+            size = np.concatenate([p.column("ids").value_lengths().to_numpy() for p in parts] or [np.empty(0)]).astype(np.int64)
+            flat = np.concatenate([p.column("ids").flatten().to_numpy() for p in parts] or [np.empty(0, np.int32)])
+            start = np.cumsum(size) - size
+            with fs.open_input_file(path) as f:
+                file = pa.ipc.open_file(f)
+                for k in range(file.num_record_batches):
+                    b = file.get_batch(k)
+                    words = b.column("words")
+                    w, off = words.flatten().to_numpy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int64)
+                    n = size[w]
+                    to = np.cumsum(n)
+                    ids = flat[np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - n - start[w], n)]
+                    ends = np.concatenate([[0], to])[off]
+                    lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.diff(off)), lists, decoder.texts(ids, ends).cast(pa.string())], ["id", "th", "n_words", "ids", "text"])
+
+        chunk, path, parts = None, "", []
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "ids": [encode_long(w, model, known) for w in b["word"]]})
-
-    return short.unionByName(distinct.where(n > LONG).mapInPandas(long, "word string, ids array<int>"))
+            c = b.column("chunk").to_numpy()
+            edges = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(c) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(lo, hi - lo)
+                if c[lo] != chunk:
+                    if chunk is not None:
+                        yield from of(path, parts)
+                    chunk, path, parts = c[lo], part.column("path")[0].as_py(), []
+                    part = part.slice(1)
+                parts.append(part)
+        if chunk is not None:
+            yield from of(path, parts)
 
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+    return every.repartition(n, "chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, schema)
 
-def hot_words(docs: DataFrame, model: Pieces, text_col: str = "text", most: int = HOT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The commonest words of a bounded sample of documents."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(F.lit("hot"), text_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample_docs / max(1, n)))))
-    words = some.select(F.explode(words_of(F.col(text_col), model)).alias("word")).where(F.char_length("word") <= 32)
-    return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
 
+def encoded(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(id, th, n_words, ids, text) for each row: th is the text's digest, ids
+    its whole id sequence, text what the ids decode to."""
+    rows = dictionaries(docs, model, id_col, text_col, chunk_chars)
+    return assembled(answers(rows.where("at >= 0"), model), rows, model, docs.schema[id_col].dataType)
 
-def encoded_words(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Two tables (id, th, pos, ids): the words resolved by broadcast and the
-    others. Together they hold each word of each document once."""
-    first = checkpoint(encode_words(hot_words(docs, model, text_col, hot), model))
-    first = F.broadcast(first.select(F.col("word").alias("h_word"), F.col("ids")))  # at most ``hot`` words of up to 32 characters
-    rows = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.posexplode(words_of(F.col(text_col), model)).alias("pos", "word"))
-    near = rows.join(first, F.col("word") == F.col("h_word")).select("id", "th", "pos", "ids")
-    far = rows.join(first, F.col("word") == F.col("h_word"), "left_anti")
-    rest = checkpoint(encode_words(far, model)).select(F.col("word").alias("r_word"), "ids")
-    return near, far.join(rest, F.col("word") == F.col("r_word")).select("id", "th", "pos", "ids")
 
-
-def piece_bytes(model: Pieces, spark: SparkSession) -> DataFrame:
-    rows = [(i, p.replace(MARK, " ").encode()) for p, _, i in model.table] + [(model.byte0 + b, bytes([b])) for b in range(256)]
-    return spark.createDataFrame(rows, "p_id int, p_bytes binary")
+def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(doc_id, ids) for each row, ids in text order."""
+    return encoded(docs, model, id_col, text_col, chunk_chars).select(F.col("id").alias("doc_id"), "ids")
 
 
 def decode_sequences(rows: DataFrame, model: Pieces, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, text) of id sequences: the pieces' bytes in order, less the leading
-    space that the model's prefix put there. key is unique."""
-    each = rows.select(F.col(key).alias("k"), F.posexplode_outer(ids_col).alias("at", "p_id")).join(F.broadcast(piece_bytes(model, rows.sparkSession)), "p_id", "left")
-    whole = each.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("p_bytes").alias("h")))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda e: e["h"]), "")), "utf-8")
-    text = F.coalesce(text, F.lit(""))
-    return whole.select(F.col("k").alias(key), (F.when(F.startswith(text, F.lit(" ")), F.expr("1")).otherwise(F.lit(0)).alias("cut") if model.prefix else F.lit(0).alias("cut")), text.alias("text")).select(key, F.substring("text", F.col("cut") + 1, F.length("text")).alias("text"))
-
-
-def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, th, ids) for each document with a word, ids in text order."""
-    near, far = encoded_words(docs, model, id_col, text_col, hot)
-    every = near.unionByName(far).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("x"))
-    return every.select(F.col("id").alias("doc_id"), "th", F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids"))
+    """(key, text) of id sequences, in any number of rows a key; a null
+    sequence, or a null in it, gives a null text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model)
+        for b in batches:
+            x = b.column("ids")
+            ends = np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+            texts = decoder.texts(x.flatten().to_numpy().astype(np.int64), ends)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.compute.if_else(x.is_valid(), texts.cast(pa.string()), None)], ["key", "text"])
 
-def decoded(ids: Column, model: Pieces) -> Column:
-    """Text of an id sequence, as bytes read for a string: the pieces' bytes in
-    order, less the leading space that the model's prefix put there."""
-    known = {i: p.replace(MARK, " ").encode() for p, _, i in model.table} | {model.byte0 + b: bytes([b]) for b in range(256)}
-    # one string literal, which is split once, as the plan is made
-    pieces = F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
-    text = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
-    return let(text, lambda t: F.when(F.startswith(t, F.lit(" ")), F.substr(t, F.lit(2))).otherwise(t)) if model.prefix else text
+    ship(rows.sparkSession)
+    ids = F.col(ids_col).cast("array<int>")
+    whole = F.when(~F.exists(ids, lambda i: i.isNull()), ids)
+    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("text", T.StringType())])
+    return rows.select(F.col(key).alias("key"), whole.alias("ids")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids, same_text) for each row: the whole id
-    sequence in text order, and whether it decodes to the text again (compared
-    by hash; a text that holds U+2581 itself does not, as that becomes a space)."""
-    near, far = encoded_words(docs, model, id_col, text_col, hot)
-    words = near.unionByName(far).select("id", "th", F.struct("pos", "ids").alias("w"), F.lit(0).cast("long").alias("c"))
-    keys = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.lit(None).cast(words.schema["w"].dataType).alias("w"), F.lit(1).cast("long").alias("c"))
-    # a document's row comes with its words, so that one without a word is there too
-    every = words.unionByName(keys).groupBy("id", "th").agg(F.array_sort(F.collect_set("w")).alias("x"), F.sum("c").alias("c"))
-    every = every.select("id", "th", "c", F.size("x").cast("long").alias("n_words"), F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids"))
-    text = let(decoded(F.col("ids"), model), lambda t: (F.xxhash64(t, F.lit(False)) == F.col("th")) | ((t == "") & (F.col("th") == digest_of(F.lit(None).cast("string")))))
-    every = every.select(F.col("id").alias("doc_id"), "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", text.alias("same_text"), "c")
-    return every.select("doc_id", "n_words", "n_pieces", "ids", "same_text", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("c")).drop("c")
-
-
-def encoding_digest(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_words, n_pieces, ids_digest) for each row. ids_digest combines,
-    over a document's words, the XXH64 of place and ids (summed by halves), so
-    it tells the whole id sequence and its order. Only sums leave a task, so no
-    document is gathered. Rows that repeat a document share its figures."""
-    near, far = encoded_words(docs, model, id_col, text_col, hot)
-    sums = [F.sum(c).alias(c) for c in ("w", "n", "lo", "hi")]
-
-    def part(x: DataFrame) -> DataFrame:
-        own = x.select("id", "th", F.xxhash64("pos", "ids").alias("h"), F.size("ids").cast("long").alias("n"), F.lit(1).cast("long").alias("w"))
-        own = own.withColumns({"lo": F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftright("h", 32)})
-        return own.groupBy("id", "th").agg(*sums)
-
-    both = part(near).unionByName(part(far)).groupBy("id", "th").agg(*sums)
-    keys = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("k_th"))
-    times = keys.groupBy("doc_id", "k_th").agg(F.count("*").alias("c"))
-    known = times.join(both, times["doc_id"].eqNullSafe(both["id"]) & (times["k_th"] == both["th"]), "left")
-    one = lambda c: F.coalesce(F.expr(f"{c} div c"), F.lit(0))
-    known = known.select(F.col("doc_id"), "c", one("w").alias("n_words"), one("n").alias("n_pieces"), F.when(F.col("w").isNull(), F.lit(0)).otherwise(F.xxhash64(F.expr("lo div c"), F.expr("hi div c"))).cast("long").alias("ids_digest"))
-    return known.select(F.explode(F.array_repeat(F.struct("doc_id", "n_words", "n_pieces", "ids_digest"), F.col("c").cast("int"))).alias("x")).select("x.*")
+    sequence, and whether it decodes to the text again (compared by hash; a
+    text that holds U+2581 itself does not, as that becomes a space)."""
+    every = encoded(docs, model, id_col, text_col, chunk_chars)
+    null = digest_of(F.lit(None).cast("string"))
+    same: Column = (F.xxhash64("text", F.lit(False)) == F.col("th")) | ((F.col("text") == "") & (F.col("th") == null))
+    return every.select(F.col("id").alias("doc_id"), "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("same_text"))

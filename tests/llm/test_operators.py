@@ -266,35 +266,26 @@ def test_pieces(spark, docs, none, rows):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model, plain = piece_lattice.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    got = {(r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encode_documents(docs, model, hot=50).collect()}
-    assert got == {(r[0], tuple(plain.encode(r[1]))) for r in rows if r[1]}
-    digest = piece_lattice.encoding_digest(docs, model, hot=50).collect()
-    assert len(digest) == len(rows)
-    assert sorted(r["n_pieces"] for r in digest) == sorted(len(plain.encode(r[1] or "")) for r in rows)
-    import re
-    import struct
-
-    from xxhash import xxh64_intdigest
-
-    def spark_hash(values: list[int], seed: int = 42) -> int:
-        for v, form in values:
-            seed = xxh64_intdigest(struct.pack(form, v), seed)
-        return seed
-
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    stop = re.escape(model.after_letter)
-    for r in rows:
-        if r[0] in (3, 200, 501, 502) or r[0] == 5:
-            full = piece_lattice.MARK + r[1].replace(" ", piece_lattice.MARK)
-            cut = re.findall(rf"▁*[^\W\d_]++(?=[{stop}])|\n|▁*[^▁\n]+|▁+", full)
-            table = {p: (x, i) for p, x, i in model.table}
-            h = [spark_hash([(k, "<i"), *((i, "<i") for i in piece_lattice.encode_long(w, model, table))]) for k, w in enumerate(cut)]
-            want = signed(spark_hash([(sum(x & 0xFFFFFFFF for x in h), "<q"), (sum(signed(x) >> 32 for x in h), "<q")]))
-            assert want in {d["ids_digest"] for d in digest if d["doc_id"] == r[0]}, r[0]
-    spans = spark.createDataFrame([(k, list(ids)) for k, (_, ids) in enumerate(sorted(got, key=str))], "key long, ids array<int>")
-    back = {r["text"] for r in piece_lattice.decode_sequences(spans, model, "key").collect()}
-    assert back == {r[1] for r in rows if r[1]}
-    assert piece_lattice.encoding_digest(none, model).count() == 0
+    rng = random.Random(12)
+    letters = " \n\t  'sdtlé́a1,\x1cΣİ<|.ﬁ▁the ing"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300)]
+    # words of hundreds and thousands of characters that can and can't be cut
+    texts += ["x" * 3000, " " * 70 + "z", "=-" * 300, "bananananana" * 30, "日本語テキスト" * 40, "a▁b", "QmFzZTY0/+4" * 60]
+    more = [(10_000 + k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    every = docs.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(spark.createDataFrame(more, SCHEMA))
+    for chunk in (64 << 20, 20_000):
+        got = sorted(((r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encode_documents(every.repartition(3), model, chunk_chars=chunk).collect()), key=repr)
+        assert got == sorted(((r[0], tuple(plain.encode(r[1] or ""))) for r in [*rows, *more]), key=repr)
+    spans = [list(ids) for _, ids in got]
+    b = model.byte0
+    spans += [[0], [1, 2], [0, 300], [1, *plain.encode("hello")], [b + 32, *plain.encode("hello")], [b + 0xE6, b + 0x97, 300, b + 0xFF], [b + 0xF0, b + 0x9F, b + 0x41], []]
+    spans += [[rng.choice([rng.randrange(3, 259), rng.randrange(32_000)]) for _ in range(rng.randrange(12))] for _ in range(300)]
+    frame = spark.createDataFrame([*enumerate(spans), (-1, None), (-2, [300, None])], "key long, ids array<int>")
+    back = {r["key"]: r["text"] for r in piece_lattice.decode_sequences(frame, model, "key").collect()}
+    assert back == {-1: None, -2: None} | {k: plain.decode(x) for k, x in enumerate(spans)}
+    with pytest.raises(Exception, match="outside the model"):
+        piece_lattice.decode_sequences(spark.createDataFrame([(1, [32_000])], "key long, ids array<int>"), model, "key").collect()
+    assert piece_lattice.round_trip(none, model).count() == 0
 
 
 def test_unigram(spark, tmp_path):
@@ -306,10 +297,17 @@ def test_unigram(spark, tmp_path):
     model, plain = piece_lattice.load(str(tmp_path / "u.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
     assert model.kind == piece_lattice.UNIGRAM
     rng = random.Random(6)
-    words = sorted({"▁" + w for w in prose(rng, 300).split()})
-    table = {p: (s, i) for p, s, i in model.table}
-    for r in piece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect():
-        assert r["ids"] == plain.encode(r["word"][1:]) == piece_lattice.encode_long(r["word"], model, table)
+    texts = [prose(rng, 12) for _ in range(100)] + ["x" * 500, "été ☃ 𝔘", ""]
+    got = piece_lattice.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {k: plain.encode(t) for k, t in enumerate(texts)}
+
+
+def test_unsupported_model(tmp_path):
+    raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    user = b"\x0a\x0a" + b"\x0a\x01~" + b"\x15\x00\x00\x00\x00" + b"\x18\x04"  # a piece of the user
+    (tmp_path / "u.model").write_bytes(raw + user)
+    with pytest.raises(NotImplementedError):
+        piece_lattice.load(str(tmp_path / "u.model"))
 
 
 def test_line_dedup(docs, none, rows):
