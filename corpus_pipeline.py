@@ -24,7 +24,7 @@ MIN_LANG_SCORE = 0.2
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without over-frequent lines."""
-    return quality_rules.quality_filter(docs)
+    return quality_rules.quality_filter(docs, chars_col="n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
 Training keeps, for every language, the character n-grams that are typical of
-it: those whose share of the language's n-grams is at least ``min_share`` of
-the largest share that any language gives them, and that occur ``min_count``
-times. All languages use one table: row i holds, as bits, the languages whose
+it: those that occur ``min_count`` times, make up ``min_gram_share`` of the
+language's n-grams, and whose share is at least ``min_share`` of the largest
+share that any language gives them.
+All languages use one table: row i holds, as bits, the languages whose
 filter has bit i set. An n-gram's k rows ANDed together give every language
 that (probably) holds it in one look-up. For a text, the bits are counted by
 language; with n n-grams and a language's false-positive rate f, the count c
@@ -11,14 +12,17 @@ becomes (c - n f) / (1 - f). The language with the largest corrected count
 wins, and that count over n is the score.
 
 Training counts n-grams over a sample of labelled documents, at most about
-``sample_docs`` a language, taken by a hash of the id; n-gram counts are summed
-on the executors and at most ``max_grams`` a language (the commonest) reach the
-driver, so the model is bounded: 2**bits rows of 8 bytes for each 64 languages.
-
-Defined cases: null text, or one without a letter, is ``und`` with score 0;
-rows with a null label do not train; without any training row everything is
-``und``; ties go to the alphabetically first language; long texts are read
-whole; repeated rows share a result; an empty table gives an empty result.
+``sample_docs`` a language, taken by a hash of the id. N-grams are counted and
+compared, and the filters merged, on the executors; the driver gets the merged
+rows, 2**bits of 8 bytes for each 64 languages. The least share bounds the
+n-grams of a language (to its inverse), so that ``bits`` keeps its filter thin.
+
+Defined cases: null text, or one without a letter, is ``und`` with score 0; a
+text with letters of which no n-gram is known gets the label of most training
+rows, with score 0; rows with a null label do not train; without any training
+row everything is ``und``; ties go to the alphabetically first language; long
+texts are read whole; repeated rows share a result; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,16 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import checkpoint, sized
 
 N = 4
 HASHES = 3
 BITS = 20
 SAMPLE_DOCS = 1500
-MAX_GRAMS = 30_000
+MIN_GRAM_SHARE = 1e-5
 MIN_COUNT = 3
 MIN_SHARE = 0.2
 UND = "und"
@@ -100,6 +105,7 @@ class Model:
     bits: int
     hashes: int
     n: int
+    usual: int = 0  # the label of most training rows
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         some = [i for i, t in enumerate(texts) if t]
@@ -115,46 +121,26 @@ class Model:
         right = np.clip((count - total[:, None] * self.rates) / (1 - self.rates), 0, None)
         best = right.argmax(axis=1)
         for j, i in enumerate(some):
-            if total[j]:
+            if total[j] and right[j, best[j]] > 0:
                 names[i], scores[i] = self.langs[best[j]], min(1.0, right[j, best[j]] / total[j])
-            elif any(map(str.isalpha, texts[i])):  # too short for an n-gram
-                names[i] = self.langs[0]
+            elif any(map(str.isalpha, texts[i])):  # no n-gram, or none that is known
+                names[i] = self.langs[self.usual]
         return names, scores
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, hashes: int = HASHES, n: int = N, min_share: float = MIN_SHARE) -> Model:
-    """counts: language -> (n-gram codes, their counts, all n-grams seen)."""
-    langs = tuple(sorted(counts))
-    rows = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), np.uint64)
-    share: dict[str, tuple[np.ndarray, np.ndarray]] = {x: (c, v / max(1, total)) for x, (c, v, total) in counts.items()}
-    codes = np.concatenate([c for c, _ in share.values()]) if langs else np.empty(0, np.uint64)
-    every, inverse = np.unique(codes, return_inverse=True)
-    top = np.zeros(len(every))
-    np.maximum.at(top, inverse, np.concatenate([v for _, v in share.values()]) if langs else [])
-    rates, at = [], 0
-    for j, x in enumerate(langs):
-        c, v = share[x]
-        most = top[np.searchsorted(every, c)]
-        for slot in _slots(c[v >= min_share * most], bits, hashes):
-            rows[slot, j // 64] |= np.uint64(1 << j % 64)
-        fill = float(((rows[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean())
-        rates.append(min(fill**hashes, 0.999))
-    return Model(langs, rows, np.array(rates), bits, hashes, n)
-
-
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT, bits: int = BITS, hashes: int = HASHES, n: int = N) -> Model:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, min_gram_share: float = MIN_GRAM_SHARE, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, bits: int = BITS, hashes: int = HASHES, n: int = N) -> Model:
     """labelled: (key, text, lang); rows with a null in text or lang are left out."""
-    ship(labelled.sparkSession)
+    spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not sizes:
-        return build({}, bits, hashes, n)
+    langs = tuple(sorted(sizes))
+    table = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), np.uint64)
+    if not langs:
+        return Model(langs, table, np.empty(0), bits, hashes, n)
     unit = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1_000_000
-    most = F
-    for x, size in sizes.items():  # one flat choice
-        most = most.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / size)))
-    most = most.otherwise(F.lit(0.0))
-    picked = rows.where(unit < most).select("lang", "text")
+    take = spark.createDataFrame([(x, min(1.0, sample_docs / size)) for x, size in sizes.items()], "lang string, take double")
+    picked = rows.join(sized(take), "lang").where(unit < F.col("take")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,13 +148,25 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int =
                 code, times = np.unique(grams(list(own["text"]), n)[0], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": code.view(np.int64), "times": times})
 
-    found = picked.mapInPandas(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    found = found.groupBy("lang").agg(F.sum("times").alias("total"), F.slice(F.sort_array(F.collect_list(F.when(F.col("times") >= min_count, F.struct("times", "gram"))), asc=False), 1, max_grams).alias("top"))
-    counts = {}
-    for r in found.collect():  # a row for each language, of bounded length
-        gram = np.array([e["gram"] for e in r["top"]], np.int64).view(np.uint64)
-        counts[r["lang"]] = (gram, np.array([e["times"] for e in r["top"]], float), r["total"])
-    return build(counts, bits, hashes, n)
+    found = checkpoint(picked.mapInPandas(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times")))
+    totals = {r["lang"]: r["total"] for r in found.groupBy("lang").agg(F.sum("times").alias("total")).collect()}  # a row for each language
+    each = spark.createDataFrame([(x, k, totals.get(x, 0)) for k, x in enumerate(langs)], "lang string, place int, total long")
+    found = found.where(F.col("times") >= min_count).join(sized(each), "lang").withColumn("share", F.col("times") / F.col("total")).where(F.col("share") >= min_gram_share)
+    top = F.max("share").over(Window.partitionBy("gram"))
+    typical = found.withColumn("top", top).where(F.col("share") >= min_share * F.col("top")).select("gram", "place")
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            place = b["place"].to_numpy(np.int64)
+            mask = (np.uint64(1) << (place % 64).astype(np.uint64)).view(np.int64)
+            for slot in _slots(b["gram"].to_numpy(np.int64).view(np.uint64), bits, hashes):
+                yield pd.DataFrame({"slot": slot, "word": place // 64, "mask": mask})
+
+    merged = typical.mapInPandas(lay, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table[merged["slot"].to_numpy(), merged["word"].to_numpy()] = merged["mask"].to_numpy().view(np.uint64)
+    fill = np.array([((table[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean() for j in range(len(langs))])
+    usual = min(range(len(langs)), key=lambda j: (-sizes[langs[j]], j))
+    return Model(langs, table, np.minimum(fill**hashes, 0.999), bits, hashes, n, usual)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,24 +6,29 @@ marks, after letters before punctuation that no piece has there; longer words
 also between any two characters that are adjacent in no piece. One pass over
 the texts keeps each document's words as places in a dictionary of its chunk
 (``chunk_chars`` characters of a task's documents at most), written to a file in
-the shared folder, and gives the dictionaries' rows. Then, for distinct words:
-
-* each is exploded into its substrings no longer than the longest piece, which
-  are equi-joined with the piece table (a parameter of fixed size, broadcast);
+the shared folder, and gives the dictionaries' rows. The first places of every
+dictionary are the ``hot`` commonest words of a bounded sample of documents,
+which are solved once and sent to every task; which words these are has no
+effect on results. For distinct words:
+
+* each is exploded into its substrings of two characters and more, but no
+  longer than the longest piece, which are equi-joined with the piece table (a
+  parameter of fixed size, broadcast);
 * the matches, which are the edges of the word's lattice, are grouped by word
-  (two 64-bit hashes) and folded with ``aggregate`` into the word's ids:
+  (two 64-bit hashes) and folded with ``aggregate`` into the word's symbols:
 
   - unigram models: Viterbi. The fold over edges by end keeps the best (score,
-    start) of each end; a second one walks back.
+    start) of each end; a second one walks back. (Single characters are
+    exploded and joined too, as their scores count.)
   - BPE models: best-path search gives other ids than the SentencePiece
     library, whose BPE merges greedily, so the fold merges. The state is the
     next boundary after each boundary; the edge of best score (ties: the
     leftmost) that spans two adjacent symbols makes them one, again and again.
 
-A character without a piece becomes its UTF-8 bytes' pieces. Words of any
-length take the same way. The answers go back to their chunks' dictionaries,
-and documents are put together there: what is shuffled is dictionaries, never
-texts or occurrences of words.
+Characters that stay alone are replaced by their pieces, or by those of their
+UTF-8 bytes where they have none. Words of any length take the same way. The
+answers go back to their chunks' dictionaries, and documents are put together
+there: what is shuffled is dictionaries, never texts or occurrences of words.
 
 Defined cases: null or empty text has no ids and decodes to the empty text;
 repeated rows each get a row; a null id is kept; an empty table gives an empty
@@ -41,9 +46,11 @@ import re
 import string
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +69,9 @@ CUT_BEYOND = 32
 #: Characters of texts that share a dictionary, and words of a document batch.
 CHUNK_CHARS = 64 << 20
 BATCH_WORDS = 200_000
+#: Common words that every dictionary begins with, and documents they are taken from.
+HOT = 200_000
+SAMPLE_DOCS = 20_000
 #: Dictionary rows of a task that folds words.
 FOLD_ROWS = 250_000
 #: Characters of a word that are exploded at a time.
@@ -99,9 +109,10 @@ class Pieces:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.table), default=1)
 
-    def ranked(self) -> list[tuple[str, float, int, int, bool]]:
-        """(piece, score, id, rank, alone): rank ascends as scores fall; alone
-        tells that every longer piece that holds this one ranks behind it."""
+    def ranked(self) -> list[tuple[str, float, int, int, int]]:
+        """(piece, score, id, rank, stands): rank ascends as scores fall. stands
+        is 1 where every longer piece that holds this one ranks behind it, 2
+        where some rank like it and none before, else 0."""
         order = {s: k for k, s in enumerate(sorted({s for _, s, _ in self.table}, reverse=True))}
         rank = {p: order[s] for p, s, _ in self.table}
         least: dict[str, int] = {}
@@ -110,7 +121,8 @@ class Pieces:
                 for j in range(i + 2, len(p) + 1):
                     if j - i < len(p) and r < least.get(p[i:j], 1 << 30):
                         least[p[i:j]] = r
-        return [(p, s, i, rank[p], least.get(p, 1 << 30) > rank[p]) for p, s, i in self.table]
+        stands = {p: (least.get(p, 1 << 30) > r) + 2 * (least.get(p) == r) for p, r in rank.items()}
+        return [(p, s, i, rank[p], stands[p]) for p, s, i in self.table]
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -169,7 +181,8 @@ class Words(dict):
     """Places of words, given as they come up. Long words are not taken up
     before they are cut; ``cut`` tells that one came."""
 
-    def __init__(self, model: Pieces):
+    def __init__(self, model: Pieces, hot: list[str] = ()):
+        super().__init__(zip(hot, range(len(hot)), strict=True))
         stop = "".join(map(re.escape, model.after_letter))
         first = rf" *{_LETTER}++(?=[{stop}])|" if stop else ""
         self.find = re.compile(first + r"\n| *[^ \n]+| +").findall
@@ -204,21 +217,44 @@ class Words(dict):
         return np.array(got, np.int32)
 
 
-def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(chunk, at, word): the dictionary of each chunk, and at place -1 the
-    file that holds the chunk's documents as (id, th, words). A task writes
-    files under names of its own attempt; the rows are written to a table, so
-    only files of attempts that succeeded are ever named."""
+def common_words(docs: DataFrame, model: Pieces, text_col: str = "text", most: int = HOT, sample_docs: int = SAMPLE_DOCS) -> list[str]:
+    """The commonest words of a bounded sample of documents (by text hash), as
+    in a text (with spaces for marks); at most ``most`` of CUT_BEYOND characters."""
+    ship(docs.sparkSession)
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("hot"), text_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))).select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, prefix = Words(model).find, " " * model.prefix
+        for b in batches:
+            seen = Counter()
+            for text in b.column("text"):
+                if text.as_py():
+                    seen.update(find(prefix + text.as_py().replace(MARK, " ")))
+            own = [(w, n) for w, n in seen.items() if len(w) <= CUT_BEYOND]
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in own], pa.string()), "times": pa.array([n for _, n in own], pa.int64())})
+
+    found = some.mapInArrow(run, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return found.orderBy(F.desc("times"), "word").limit(most).select("word").toArrow()["word"].to_pylist()
+
+
+def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: list[str] = ()) -> DataFrame:
+    """(chunk, at, word): the dictionary of each chunk from place len(hot) on,
+    and at place -1 the file that holds the chunk's documents as (id, th, low,
+    high), the latter being the halves of places. A task writes files under
+    names of its own attempt; the rows are written to a table, so only files of
+    attempts that succeeded are ever named."""
     spark = docs.sparkSession
     ship(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.broadcast(list(hot))  # HOT words of CUT_BEYOND characters at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         fs, top = FileSystem.from_uri(folder)
         fs.create_dir(f"{top}/docs", recursive=True)
-        own, out, path, chars, held, size = Words(model), None, "", 0, [], 0
+        own, out, path, chars, held, size = Words(model, shared.value), None, "", 0, [], 0
 
         def flush() -> None:
             nonlocal out, path, held, size
@@ -226,7 +262,9 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
                 return
             ids, th, words = zip(*held, strict=True)
             ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            b = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(th, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(words))], ["id", "th", "words"])
+            flat = np.concatenate(words)
+            halves = [pa.ListArray.from_arrays(ends, x.astype(np.uint16)) for x in (flat & 0xFFFF, flat >> 16)]
+            b = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(th, pa.int64()), *halves], ["id", "th", "low", "high"])
             if out is None:
                 path = f"{top}/docs/{uuid.uuid4().hex}.arrow"
                 out = pa.ipc.new_file(fs.open_output_stream(path), b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -239,12 +277,13 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
             if out is not None:
                 out.close()
                 chunk = uuid.uuid4().int >> 65
-                words = [w.replace(" ", MARK) for w in own]
+                n = len(shared.value)
+                words = [w.replace(" ", MARK) for w in islice(own, n, None)]
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "at": pa.array([-1], pa.int32()), "word": pa.array([path])})
                 for k in range(0, len(words), 50_000):
                     part = words[k : k + 50_000]
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(part), chunk)), "at": pa.array(np.arange(k, k + len(part), dtype=np.int32)), "word": pa.array(part, pa.string())})
-            out, own, chars = None, Words(model), 0
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(part), chunk)), "at": pa.array(np.arange(n + k, n + k + len(part), dtype=np.int32)), "word": pa.array(part, pa.string())})
+            out, own, chars = None, Words(model, shared.value), 0
 
         for b in batches:
             for k, text in enumerate(b.column("text")):
@@ -268,14 +307,16 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
 _NONE = "cast(-1 as int)"
 
 
-def _merge() -> str:
+def _merge(most: int) -> str:
     """BPE. nx[i]: where the symbol that starts at i ends, -1 if none starts
     there. An edge fits when it spans two symbols. ``many`` is in order of
-    (rank, start); a pass makes every edge that fits one symbol, until one whose
-    piece may be overtaken by a longer piece around it: the next pass is from
+    (rank, start); a pass makes every edge that fits one symbol, until a longer
+    piece around it might come before the edges that follow (where ranks are
+    equal, only one that takes in the symbol on the left): the next pass is from
     the first edge again."""
     joined = f"concat(slice(a.nx, 1, x.s), array(x.e), array_repeat({_NONE}, x.e - x.s - 1), slice(a.nx, x.e + 1, n - x.e))"
-    one = f"if(a.again or not coalesce(get(a.nx, get(a.nx, x.s)) = x.e, false), a, named_struct('nx', {joined}, 'again', not x.mark))"
+    left = f"x.s > 0 and x.e - x.s < {most} and exists(sequence(greatest(0, x.e - {most}), x.s - 1), i -> get(a.nx, i) = x.s)"
+    one = f"if(a.again or not coalesce(get(a.nx, get(a.nx, x.s)) = x.e, false), a, named_struct('nx', {joined}, 'again', case x.mark when 1 then false when 2 then {left} else true end))"
     each = f"aggregate(many, named_struct('nx', p.nx, 'again', false), (a, x) -> {one})"
     return f"""aggregate(if(size(many) = 0, cast(array() as array<int>), sequence(1, n)),
       named_struct('nx', sequence(1, n), 'again', true), (p, i) -> if(not p.again, p, {each}), p -> p.nx)"""
@@ -297,63 +338,58 @@ def _viterbi(model: Pieces) -> str:
     return f"transform(array({forth}), best -> {back})[0]"
 
 
-def _bytes_of(c: str) -> str:
-    """Byte pieces' places of a character, from its code point."""
-    tail = lambda k: f"128 | (shiftright({c}, {k}) & 63)"
-    return f"""case when {c} < 128 then array({c}) when {c} < 2048 then array(192 | shiftright({c}, 6), {tail(0)})
-      when {c} < 65536 then array(224 | shiftright({c}, 12), {tail(6)}, {tail(0)}) else array(240 | shiftright({c}, 18), {tail(12)}, {tail(6)}, {tail(0)}) end"""
-
-
 def solved(words: DataFrame, model: Pieces) -> DataFrame:
-    """(w1, w2, ids) of distinct (w1, w2, word); w1 and w2 tell words apart and
-    rows are dealt by them. For BPE an edge is one number, so that edges are
-    gathered and sorted as such: rank (singles: above all), start, length, then
-    the id (a single without a piece: its code point) and a mark (alone; a
-    single without a piece)."""
+    """(w1, w2, ids) of those of the distinct (w1, w2, word) that have an edge
+    of two characters (unigram: of all); w1 and w2 tell words apart and rows
+    are dealt by them. A character that stays alone at place s is -1 - s. For
+    BPE an edge is one number, so that edges are gathered and sorted as such:
+    rank, start, length, id and whether the piece stands."""
     spark = words.sparkSession
     ship(spark)
-    most, ranked = model.longest, model.ranked()
-    table = spark.createDataFrame(ranked, "piece string, score float, id int, rank int, alone boolean")
+    most, ranked, least = model.longest, model.ranked(), 1 if model.kind == UNIGRAM else 2
+    table = spark.createDataFrame(ranked, "piece string, score float, id int, rank int, stands int")
     long = words.select("w1", "w2", "word", F.explode(F.expr(f"sequence(0, cast((char_length(word) - 1) div {SPAN} as int))")).alias("k"))
-    long = long.select("w1", "w2", "k", F.expr(f"substring(word, k * {SPAN} + 1, {SPAN + most - 1})").alias("part"))
-    at = long.select("w1", "w2", "k", "part", F.explode(F.expr(f"sequence(0, least({SPAN}, char_length(part)) - 1)")).alias("i"))
-    at = at.select("w1", "w2", F.expr(f"k * {SPAN} + i").alias("s"), F.expr(f"substring(part, i + 1, {most})").alias("tail"))
-    sub = at.select("w1", "w2", "s", "tail", F.explode(F.expr("sequence(1, char_length(tail))")).alias("m"))
-    sub = sub.select("w1", "w2", "s", "m", F.substring("tail", F.lit(1), F.col("m")).alias("piece"))
-    # the join is on a hash, which Spark looks up fast; the pieces themselves are compared after it
-    table = table.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "score", "id", "rank", "alone")
-    edges = sub.join(F.broadcast(table), F.xxhash64("piece") == F.col("key"), "left")
-    edges = edges.withColumn("id", F.expr("if(piece <=> known, id, null)")).where("id is not null or m = 1")
+    long = long.select("w1", "w2", "k", F.char_length("word").alias("n"), F.expr(f"substring(word, k * {SPAN} + 1, {SPAN + most - 1})").alias("part"))
+    at = long.select("w1", "w2", "k", "n", "part", F.explode(F.expr(f"sequence(0, least({SPAN}, char_length(part)) - 1)")).alias("i"))
+    at = at.select("w1", "w2", "n", F.expr(f"k * {SPAN} + i").alias("s"), F.expr(f"substring(part, i + 1, {most})").alias("tail")).where(F.char_length("tail") >= least)
+    sub = at.select("w1", "w2", "n", "s", "tail", F.explode(F.expr(f"sequence({least}, char_length(tail))")).alias("m"))
+    sub = sub.select("w1", "w2", "n", "s", "m", F.substring("tail", F.lit(1), F.col("m")).alias("piece"))
+    # the join is on a hash, which Spark looks up fast; the pieces themselves are compared as well
+    table = F.broadcast(table.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "score", "id", "rank", "stands"))
+    key = F.xxhash64("piece") == F.col("key")
     if model.kind == UNIGRAM:
-        edge, name, fold = "named_struct('e', s + m, 's', s, 'score', score, 'id', coalesce(id, ascii(piece)), 'mark', id is null)", "by_end", _viterbi(model)
-        each, order = "edges", "array_sort(every)"
+        edges = sub.join(table, key, "left").withColumn("id", F.expr("if(piece <=> known, id, null)")).where("id is not null or m = 1")
+        edge, name, fold = "named_struct('e', s + m, 's', s, 'score', score, 'id', coalesce(id, -1 - s), 'mark', id is null)", "by_end", _viterbi(model)
+        each = "array_sort(edges)"
     else:
-        ids, size = max(21, max((i for _, _, i in model.table), default=0).bit_length()), most.bit_length()
-        top = max((r for *_, r, _ in ranked), default=0) + 1
-        room = 63 - 1 - ids - size - top.bit_length()
+        edges = sub.join(table, key & (F.col("piece") >= F.col("known")) & (F.col("piece") <= F.col("known")))
+        ids, size = max((i for _, _, i in model.table), default=0).bit_length(), most.bit_length()
+        room = 63 - 2 - ids - size - max((r for *_, r, _ in ranked), default=0).bit_length()
         part = lambda low, bits: f"cast(shiftright(x, {low}) & {(1 << bits) - 1} as int)"
         far = f"if(s >= {1 << room}, raise_error('a word of {1 << room} characters or more that cannot be cut'), cast(s as bigint))"
-        edge = f"shiftleft(cast(if(m = 1, {top}, rank) as bigint), {room + size + ids + 1}) | shiftleft({far}, {size + ids + 1}) | shiftleft(cast(m as bigint), {ids + 1}) | shiftleft(cast(coalesce(id, ascii(piece)) as bigint), 1) | cast(if(m = 1, id is null, alone) as bigint)"
-        each = f"transform(sort_array(edges), x -> transform(array({part(size + ids + 1, room)}), s -> named_struct('s', s, 'e', s + {part(ids + 1, size)}, 'id', {part(1, ids)}, 'mark', (x & 1) = 1))[0])"
-        name, order, fold = "many", "filter(every, x -> x.e - x.s > 1)", _merge()
-    edges = edges.select("w1", "w2", F.expr(edge).alias("x"), (F.col("s") + F.col("m")).alias("e"))
-    edges = edges.groupBy("w1", "w2").agg(F.max("e").alias("n"), F.collect_list("x").alias("edges"))
-    single = "x.mark and x.e - x.s = 1"
-    spelled = f"flatten(transform(found, x -> if({single}, transform({_bytes_of('x.id')}, b -> b + {model.byte0}), array(x.id))))"
-    found = "sort_array(transform(filter(every, x -> get(nx, x.s) = x.e), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id, 'mark', x.mark)))"
-    ids_of = f"transform(array({found}), found -> if(exists(found, x -> {single}), {spelled}, transform(found, x -> x.id)))[0]"
-    whole = f"transform(array({each}), every -> transform(array({order}), {name} -> transform(array({fold}), nx -> {ids_of})[0])[0])[0]"
-    return edges.select("w1", "w2", F.expr(whole).alias("ids"))
+        edge = f"shiftleft(cast(rank as bigint), {room + size + ids + 2}) | shiftleft({far}, {size + ids + 2}) | shiftleft(cast(m as bigint), {ids + 2}) | shiftleft(cast(id as bigint), 2) | cast(stands as bigint)"
+        each = f"transform(sort_array(edges), x -> transform(array({part(size + ids + 2, room)}), s -> named_struct('s', s, 'e', s + {part(ids + 2, size)}, 'id', {part(2, ids)}, 'mark', cast(x & 3 as int)))[0])"
+        name, fold = "many", _merge(most)
+    edges = edges.select("w1", "w2", "n", F.expr(edge).alias("x"))
+    edges = edges.groupBy("w1", "w2").agg(F.max("n").alias("n"), F.collect_list("x").alias("edges"))
+    found = f"transform(filter({name}, x -> get(nx, x.s) = x.e), x -> shiftleft(cast(x.s as bigint), 32) | (x.id & {0xFFFFFFFF}))"
+    alone = "transform(filter(sequence(0, n - 1), s -> nx[s] = s + 1), s -> shiftleft(cast(s as bigint), 32) | (-1 - s & 4294967295))"
+    both = found if model.kind == UNIGRAM else f"concat({found}, {alone})"
+    ids_of = f"transform(sort_array({both}), x -> cast(if((x & 2147483648) = 0, x & 4294967295, (x & 4294967295) - 4294967296) as int))"
+    return edges.select("w1", "w2", F.expr(f"transform(array({each}), {name} -> transform(array({fold}), nx -> {ids_of})[0])[0]").alias("ids"))
 
 
 def answers(rows: DataFrame, model: Pieces) -> DataFrame:
-    """(chunk, at, ids) of dictionary rows (chunk, at, word)."""
+    """(chunk, at, ids) of dictionary rows (chunk, at, word). A character that
+    stays alone is -1 less its code point."""
     w1, w2 = F.xxhash64("word"), F.xxhash64(F.lit("word"), "word")
     n = max(1, -(-rows.count() // FOLD_ROWS))
     dealt = rows.repartition(n, w1, w2).select("chunk", "at", "word", w1.alias("w1"), w2.alias("w2"))
     # chunk and at are kept in sight, so that both sides read the same shuffle
     distinct = dealt.groupBy("w1", "w2", "word").agg(F.min("chunk").alias("c"), F.min("at").alias("a")).where("a >= 0 and c >= 0").select("w1", "w2", "word")
-    return dealt.join(solved(distinct, model), ["w1", "w2"]).select("chunk", "at", "ids")
+    both = dealt.join(solved(distinct, model), ["w1", "w2"], "left")
+    ids = "coalesce(ids, transform(sequence(0, char_length(word) - 1), s -> -1 - s))"
+    return both.select("chunk", "at", "word", F.expr(ids).alias("ids")).select("chunk", "at", F.expr("if(exists(ids, i -> i < 0), transform(ids, i -> if(i < 0, -1 - ascii(substring(word, -i, 1)), i)), ids)").alias("ids"))
 
 
 # -- documents --------------------------------------------------------------
@@ -361,6 +397,39 @@ def answers(rows: DataFrame, model: Pieces) -> DataFrame:
 codecs.register_error("readloom-each", lambda e: ("�", e.start + 1))
 
 
+class Singles:
+    """The ids of characters that stay alone, put in place of their marks."""
+
+    def __init__(self, model: Pieces):
+        one = sorted((ord(p), i) for p, _, i in model.table if len(p) == 1)
+        self.point, self.id = (np.array([x[k] for x in one], np.int64) for k in (0, 1))
+        self.byte0 = model.byte0
+
+    def put(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """flat: answers of words of the given sizes, one after another."""
+        flat = flat.astype(np.int32)
+        at = np.flatnonzero(flat < 0)
+        point = -1 - flat[at].astype(np.int64)
+        k = np.minimum(np.searchsorted(self.point, point), max(0, len(self.point) - 1))
+        known = self.point[k] == point if len(self.point) else np.zeros(len(at), bool)
+        flat[at[known]] = self.id[k[known]]
+        at, point = at[~known], point[~known]
+        if not len(at):
+            return flat, size
+        wide = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        times = np.ones(len(flat), np.int64)
+        times[at] = wide
+        word = np.repeat(np.arange(len(size)), size)
+        out, start = np.repeat(flat, times), (np.cumsum(times) - times)[at]
+        for n in np.unique(wide).tolist():
+            own = wide == n
+            for j in range(n):
+                bits = point[own] >> 6 * (n - 1 - j)
+                lead = bits if n == 1 else bits | (0xF00 >> n & 0xFF) if j == 0 else bits & 0x3F | 0x80
+                out[start[own] + j] = self.byte0 + lead
+        return out, np.bincount(word, weights=times, minlength=len(size)).astype(np.int64)
+
+
 class Decoder:
     """Id sequences to texts, many at once."""
 
@@ -401,10 +470,20 @@ class Decoder:
         return whole if total >= 1 << 31 else whole.cast(pa.string())
 
 
-def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataType) -> DataFrame:
+def solved_words(words: list[str], docs: DataFrame, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids, one after another, of a bounded list of words."""
+    rows = docs.sparkSession.createDataFrame([(0, k, w.replace(" ", MARK)) for k, w in enumerate(words)], "chunk long, at int, word string")
+    got = answers(rows, model).orderBy("at").toArrow().combine_chunks()
+    lists = got["ids"].combine_chunks() if got["ids"].num_chunks != 1 else got["ids"].chunk(0)
+    return Singles(model).put(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+
+
+def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataType, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, th, n_words, ids, text) of every document of the chunks: text is
-    decoded from the ids. found: answers; rows: dictionaries."""
+    decoded from the ids. found: answers; rows: dictionaries; hot: ids and
+    sizes of the first places of all."""
     spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(hot)  # of HOT words
     files = rows.where("at < 0")
     n = max(1, files.count())
     every = found.select("chunk", "at", "ids", F.lit(None).cast("string").alias("path")).unionByName(files.select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), F.col("word").alias("path")))
@@ -414,21 +493,23 @@ def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataT
         from pyarrow.fs import FileSystem
 
         fs, _ = FileSystem.from_uri(folder)
-        decoder = Decoder(model)
+        decoder, singles = Decoder(model), Singles(model)
+        first, first_size = shared.value
 
         def of(path: str, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([p.column("at").to_numpy() for p in parts] or [np.empty(0, np.int32)])
-            if (at != np.arange(len(at))).any():
+            if (at != np.arange(len(first_size), len(first_size) + len(at))).any():
                 raise ValueError(f"{path}: words of the dictionary are missing")
             size = np.concatenate([p.column("ids").value_lengths().to_numpy() for p in parts] or [np.empty(0)]).astype(np.int64)
-            flat = np.concatenate([p.column("ids").flatten().to_numpy() for p in parts] or [np.empty(0, np.int32)])
+            flat, size = singles.put(np.concatenate([p.column("ids").flatten().to_numpy() for p in parts] or [np.empty(0, np.int32)]), size)
+            flat, size = np.concatenate([first, flat]), np.concatenate([first_size, size])
             start = np.cumsum(size) - size
             with fs.open_input_file(path) as f:
                 file = pa.ipc.open_file(f)
                 for k in range(file.num_record_batches):
                     b = file.get_batch(k)
-                    words = b.column("words")
-                    w, off = words.flatten().to_numpy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int64)
+                    low, high = (b.column(c).flatten().to_numpy().astype(np.int64) for c in ("low", "high"))
+                    w, off = low | high << 16, np.concatenate([[0], np.cumsum(b.column("low").value_lengths().to_numpy())]).astype(np.int64)
                     n = size[w]
                     to = np.cumsum(n)
                     ids = flat[np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - n - start[w], n)]
@@ -455,16 +536,17 @@ def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataT
     return every.repartition(n, "chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, schema)
 
 
-def encoded(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encoded(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: int = HOT) -> DataFrame:
     """(id, th, n_words, ids, text) for each row: th is the text's digest, ids
     its whole id sequence, text what the ids decode to."""
-    rows = dictionaries(docs, model, id_col, text_col, chunk_chars)
-    return assembled(answers(rows.where("at >= 0"), model), rows, model, docs.schema[id_col].dataType)
+    first = common_words(docs, model, text_col, hot)
+    rows = dictionaries(docs, model, id_col, text_col, chunk_chars, first)
+    return assembled(answers(rows.where("at >= 0"), model), rows, model, docs.schema[id_col].dataType, solved_words(first, docs, model))
 
 
-def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, ids) for each row, ids in text order."""
-    return encoded(docs, model, id_col, text_col, chunk_chars).select(F.col("id").alias("doc_id"), "ids")
+    return encoded(docs, model, id_col, text_col, chunk_chars, hot).select(F.col("id").alias("doc_id"), "ids")
 
 
 def decode_sequences(rows: DataFrame, model: Pieces, key: str, ids_col: str = "ids") -> DataFrame:
@@ -486,11 +568,11 @@ def decode_sequences(rows: DataFrame, model: Pieces, key: str, ids_col: str = "i
     return rows.select(F.col(key).alias("key"), whole.alias("ids")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids, same_text) for each row: the whole id
     sequence, and whether it decodes to the text again (compared by hash; a
     text that holds U+2581 itself does not, as that becomes a space)."""
-    every = encoded(docs, model, id_col, text_col, chunk_chars)
+    every = encoded(docs, model, id_col, text_col, chunk_chars, hot)
     null = digest_of(F.lit(None).cast("string"))
     same: Column = (F.xxhash64("text", F.lit(False)) == F.col("th")) | ((F.col("text") == "") & (F.col("th") == null))
     return every.select(F.col("id").alias("doc_id"), "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("same_text"))

@@ -2,18 +2,21 @@
 
 Base rules look at one document. The method then hashes each normalised line
 (ASCII and Unicode lower case, white space collapsed), counts the distinct
-texts of each host that hold it, and removes a line where more than
-``max_line_docs`` do, except from the first document (smallest id) of that
-host; a document that loses over ``max_removed_share`` of its words is
-rejected. Exact copies count as one text: removing those is the work of
-de-duplication.
+documents of each host that hold it, and removes a line above the limit, except
+from the first document (smallest id) of that host. The limit is
+``max_line_percent`` of the host's documents, but ``few_line_docs`` at least
+and ``max_line_docs`` at most. A document that loses over ``max_removed_share``
+of its words is rejected.
 
 Only DataFrame functions are used. Hot lines and hosts are counted by partial
 aggregation; no task sees all rows of one.
 
 Defined cases: null text counts as no words, so it fails; a null host is a
-host of its own; repeated rows share one result; an empty table gives an empty
-result; other columns are kept by the filter and never read.
+host of its own; rows that repeat a document (id and text) are one document and
+share its result; among documents of one id the first is that of the smallest
+text hash; an empty table gives an empty result; texts are read whole, however
+long; other columns, whatever their names, are kept by the filter and not read
+(``chars_col`` names one to be set to the length of the text that is left).
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .common import SPACES, checkpoint, digest_of, fresh, has_word, let, sized,
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LINE_DOCS = 30
+FEW_LINE_DOCS = 4
+MAX_LINE_PERCENT = 10
 MAX_REMOVED_SHARE = 0.5
 WINDOW = 3
 
@@ -77,12 +82,24 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACES, " "))
 
 
+def over_frequent(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, host_col: str, max_line_docs: int, few_line_docs: int = FEW_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT) -> DataFrame:
+    """(o_host, o_lh, o_id, o_th): lines above their host's limit, and the
+    first document that holds each. rows: as by _lines_of()."""
+    document = F.struct("id", "th")
+    held = rows.groupBy("host", "lh").agg(F.count_distinct(document).alias("n"), F.min(document).alias("first")).where(F.col("n") > few_line_docs)
+    t = F.col(text_col)
+    own = docs.where(t.isNotNull()).select(F.col(host_col).alias("h_host"), F.col(id_col).alias("id"), digest_of(t).alias("th"))
+    sizes = checkpoint(own.groupBy("h_host").agg(F.count_distinct(document).alias("docs")))
+    limit = F.least(F.lit(max_line_docs), F.greatest(F.lit(few_line_docs), F.expr(f"{max_line_percent} * docs div 100")))
+    held = held.join(sized(sizes, 96), F.col("host").eqNullSafe(F.col("h_host"))).where(F.col("n") > limit)
+    return checkpoint(held.select(F.col("host").alias("o_host"), F.col("lh").alias("o_lh"), F.col("first.id").alias("o_id"), F.col("first.th").alias("o_th")))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """(id, th, removed_words, removed) for the documents that lose lines;
     removed: positions of those among the text's \\n-split lines, from 0."""
     rows = _lines_of(docs, id_col, text_col, host_col)
-    over = rows.groupBy("host", "lh").agg(F.count_distinct("th").alias("n"), F.min(F.struct("id", "th")).alias("first")).where(F.col("n") > max_line_docs)
-    over = checkpoint(over.select(F.col("host").alias("o_host"), F.col("lh").alias("o_lh"), F.col("first.id").alias("o_id"), F.col("first.th").alias("o_th")))
+    over = over_frequent(docs, rows, id_col, text_col, host_col, max_line_docs)
     hit = rows.join(sized(over, 96), rows["host"].eqNullSafe(F.col("o_host")) & (rows["lh"] == F.col("o_lh")))
     hit = hit.where(~(F.col("id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th"))))
     lost = hit.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "nw")).alias("s"))
@@ -128,8 +145,7 @@ def settled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whose smaller holders do not matter any more, round by round; a round
     settles at least the smallest of those left, most rounds nearly all."""
     rows = _lines_of(docs, id_col, text_col, host_col)
-    over = rows.groupBy("host", "lh").agg(F.count_distinct("th").alias("n")).where(F.col("n") > max_line_docs)
-    over = checkpoint(over.select(F.col("host").alias("o_host"), F.col("lh").alias("o_lh")))
+    over = over_frequent(docs, rows, id_col, text_col, host_col, max_line_docs).select("o_host", "o_lh")
     hit = checkpoint(rows.join(sized(over, 96), rows["host"].eqNullSafe(F.col("o_host")) & (rows["lh"] == F.col("o_lh"))).select(*rows.columns))
     some = checkpoint(hit.select(F.col("id").alias("s_id"), F.col("th").alias("s_th")).distinct())
     t = F.col(text_col)
@@ -161,7 +177,7 @@ def settled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, max_removed_share: float = MAX_REMOVED_SHARE, chars_col: str | None = None) -> DataFrame:
     """docs without rejected rows and removed lines; same columns. Unlike the
     verdicts of quality(), which are those of its SQL, an over-frequent line
     stays in the first document that is kept, not in one that may be rejected."""
@@ -173,7 +189,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = whole.join(lost, F.col(box)[id_col].eqNullSafe(F.col("rl_id")) & (F.col("t_th") == F.col("rl_th")) & F.col(box)[host_col].eqNullSafe(F.col("rl_host")), "left")
     whole = whole.where(~F.coalesce("rl_depleted", F.lit(False)))
     text = without_lines(F.col(box)[text_col], F.col("rl_removed"))
-    return whole.select(*[text.alias(c) if c == text_col else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(box)[c].alias(c) for c in docs.columns])
+    return whole.select(*[text.alias(c) if c == text_col else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == chars_col else F.col(box)[c].alias(c) for c in docs.columns])
 
 
 SQL = rf"""
@@ -187,7 +203,9 @@ ln as (select doc_id, host, t, pos, line, lower(regexp_replace(trim(line, chr(32
   from (select doc_id, host, t, unnest(ls) as line, generate_subscripts(ls, 1) as pos from w)),
 con as (select * from ln where nw > 0),
 dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from con group by doc_id),
-ov as (select host, nl, min(doc_id) as first from con group by host, nl having count(distinct t) > {MAX_LINE_DOCS}),
+hs as (select source as host, count(distinct doc_id) as docs from documents where text is not null group by source),
+ov as (select l.host, nl, first from (select host, nl, min(doc_id) as first, count(distinct doc_id) as n from con group by host, nl) l join hs on l.host is not distinct from hs.host
+  where n > least({MAX_LINE_DOCS}, greatest({FEW_LINE_DOCS}, {MAX_LINE_PERCENT} * docs // 100))),
 lost as (select c.doc_id, sum(c.nw) as removed_words from con c join ov o on c.host is not distinct from o.host and c.nl = o.nl where c.doc_id <> o.first group by c.doc_id)
 select *, not base_failed and removed_words <= {MAX_REMOVED_SHARE} * n_words as kept from (
 select w.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,

@@ -6,6 +6,8 @@ is cut into units that can be encoded alone: runs without white space
 (``byte``, where spaces are part of tokens); a word is also cut from punctuation
 after it. Units repeat, so each worker keeps
 the ids of the first ``cache`` that came up twice (some 250 bytes each); the result never depends on the cache.
+A text that holds the string of an added token, which the library finds before
+it splits, is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units = _UNITS[kind].findall
         self.cache = cache
         self.known: dict[str, bytes] = {}
@@ -41,6 +43,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         units = self.units(text)
         out = list(map(self.known.get, units))
         try:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 
@@ -51,12 +54,41 @@ def test_embeddings_of_low_rank(spark):
     assert got == dict(enumerate((cosines >= embed_dedup.COSINE).sum(axis=1).tolist()))
 
 
-def test_more_than_64_languages():
+def test_more_than_64_languages(spark):
     texts = {f"l{k:03d}": f"{chr(0x4E00 + 20 * k)}{chr(0x4E01 + 20 * k)}{chr(0x4E02 + 20 * k)}" * 5 for k in range(150)}
-    counts = {}
-    for x, t in texts.items():
-        codes, times = np.unique(lang_id.grams([t])[0], return_counts=True)
-        counts[x] = (codes, times.astype(float), int(times.sum()))
-    names, scores = lang_id.build(counts).predict(list(texts.values()))
+    df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(texts.items())], "key long, text string, lang string")
+    names, scores = lang_id.train(df).predict(list(texts.values()))
     assert names == list(texts)
-    assert (scores > 0.9).all()
+    assert (scores > 0.8).all()
+
+
+def test_language_filter_against_sets(spark):
+    """The merged filter, the counts by language and their correction, from sets."""
+    rng = random.Random(4)
+    words = {"aa": "the and of that with this from have", "bb": "der die und nicht ein wird auch sich", "cc": "le les des une dans pour avec sur", "dd": "the die les un"}
+    rows = [(k, " ".join(rng.choice(words[x].split()) + rng.choice(["", "en", "s"]) for _ in range(40)), x) for k, x in enumerate(sorted(words) * 30)]
+    rows += [(900, "x", "aa"), (901, None, "aa"), (902, "text", None)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    bits, hashes = 10, lang_id.HASHES  # a small filter, so that false positives occur
+    model = lang_id.train(df, bits=bits)
+    counts = {x: Counter() for x in words}
+    for _, t, x in rows:
+        if t and x:
+            counts[x].update(lang_id.grams([t])[0].tolist())
+    share = {x: {g: n / sum(c.values()) for g, n in c.items() if n >= lang_id.MIN_COUNT and n / sum(c.values()) >= lang_id.MIN_GRAM_SHARE} for x, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    slots = lambda g: {int(a[0]) for a in lang_id._slots(np.array([g], np.uint64), bits, hashes)}
+    held = {x: set().union(*(slots(g) for g, v in s.items() if v >= lang_id.MIN_SHARE * top[g])) for x, s in share.items()}
+    assert model.langs == tuple(sorted(words))
+    rates = {x: (len(h) / 2**bits) ** hashes for x, h in held.items()}
+    texts = [t for _, t, _ in rows] + ["der und le", "qqq zzz", "", "!!", "é"]
+    names, scores = model.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        g = lang_id.grams([t])[0].tolist() if t else []
+        right = {x: max(0.0, (sum(slots(c) <= held[x] for c in g) - len(g) * rates[x]) / (1 - rates[x])) for x in words}
+        best = max(sorted(right), key=right.get)
+        if g and right[best] > 1e-9:
+            assert abs(score - min(1.0, right[best] / len(g))) < 1e-9
+            assert abs(right[name] - right[best]) < 1e-9
+        else:
+            assert (name, score) == ("aa" if t and any(map(str.isalpha, t)) else lang_id.UND, 0)

@@ -153,11 +153,12 @@ def test_encoder(name, kind, rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     code = tokens.Encoder(public_tokenizers.path(name), kind)
     rng = random.Random(2)
     letters = " \n\t  'sdtlé́a1,\x1cΣİ<|.ﬁ"
     texts = [r[1] or "" for r in rows] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    added = ["<|endoftext|>", "<|startoftext|>"]
+    texts += ["hello <|endoftext|>", "a<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "<|endoftext|> \n x.<|endoftext", *(rng.choice(added).join(rng.choices(texts, k=3)) for _ in range(200))]
     for t in texts:
         assert np.frombuffer(code.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:80]
 
@@ -270,11 +271,11 @@ def test_pieces(spark, docs, none, rows):
     letters = " \n\t  'sdtlé́a1,\x1cΣİ<|.ﬁ▁the ing"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300)]
     # words of hundreds and thousands of characters that can and can't be cut
-    texts += ["x" * 3000, " " * 70 + "z", "=-" * 300, "bananananana" * 30, "日本語テキスト" * 40, "a▁b", "QmFzZTY0/+4" * 60]
+    texts += ["x" * 3000, " " * 70 + "z", " " * 300, " a" + " " * 37 + "b", "=-" * 300, "bananananana" * 30, "日本語テキスト" * 40, "a▁b", "QmFzZTY0/+4" * 60]
     more = [(10_000 + k, t, "en", "s", 0) for k, t in enumerate(texts)]
     every = docs.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(spark.createDataFrame(more, SCHEMA))
-    for chunk in (64 << 20, 20_000):
-        got = sorted(((r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encode_documents(every.repartition(3), model, chunk_chars=chunk).collect()), key=repr)
+    for chunk, hot in ((64 << 20, 200_000), (20_000, 50)):
+        got = sorted(((r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encode_documents(every.repartition(3), model, chunk_chars=chunk, hot=hot).collect()), key=repr)
         assert got == sorted(((r[0], tuple(plain.encode(r[1] or ""))) for r in [*rows, *more]), key=repr)
     spans = [list(ids) for _, ids in got]
     b = model.byte0
@@ -403,16 +404,22 @@ def test_quality(docs, none, rows):
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert not (r["kept"] and r["base_failed"])
-    holders: dict = {}
+    holders, hosts = {}, {}
     norm = lambda x: " ".join(word(x)).lower()
+    key = lambda d: d if d is not None else -1
     for d, t, _, s, _ in rows:
+        if t is not None:
+            hosts.setdefault(s, set()).add((key(d), t))
         for x in (t or "").split("\n"):
             if word(x):
-                holders.setdefault((s, norm(x)), set()).add((d if d is not None else -1, t))
-    over = {k: min(v)[0] for k, v in holders.items() if len({t for _, t in v}) > 5}
-    lost = {(d, t): sum(len(word(x)) for x in (t or "").split("\n") if word(x) and over.get((s, norm(x)), d) != d) for d, t, _, s, _ in rows}
-    assert sorted((repr(d), n) for (d, t), n in lost.items()) == sorted({(repr(r["doc_id"]), r["removed_words"], r["n_words"]) for r in got} and [(repr(d), n) for (d, t), n in lost.items()])
-    assert {r["removed_words"] for r in got} >= {n for n in lost.values()}
+                holders.setdefault((s, norm(x)), set()).add((key(d), t))
+    limit = lambda s: min(5, max(4, 10 * len(hosts[s]) // 100))
+    over = {k: min(v)[0] for k, v in holders.items() if len(v) > limit(k[0])}
+    lost = {(d, t, s): sum(len(word(x)) for x in (t or "").split("\n") if word(x) and over.get((s, norm(x)), key(d)) != key(d)) for d, t, _, s, _ in rows}
+    want = [(repr(d), lost[d, t, s], base(t)[0]) for d, t, _, s, _ in rows]
+    assert sorted((repr(r["doc_id"]), r["removed_words"], r["n_words"]) for r in got) == sorted(want)
+    assert sum(n > 0 for _, n, _ in want) > 100
+    assert all(r["kept"] == (not r["base_failed"] and 2 * r["removed_words"] <= r["n_words"]) for r in got)
     passed = quality_rules.quality_filter(docs, max_line_docs=5)
     assert passed.columns == docs.columns
     assert passed.count() == sum(r["kept"] for r in got)
