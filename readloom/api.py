@@ -8,25 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import BLOCK_BYTES
-from .sources import archive, fastq, files, register
+from .sources import archive, fastq, files
 
 
 def pack(spark: SparkSession, archive_path: str, fastq_path: str, chunk_bytes: int = BLOCK_BYTES, verify: bool = True) -> dict:
-    """Encode a FASTQ file into an archive; each block is decoded again and
-    compared. Blocks are partitions of the scan, so nothing is shuffled. A
-    failure leaves no archive."""
+    """Encode FASTQ (a file, a folder or a glob) into an archive. Every byte of
+    the input must come back, but for a missing last line end: the scan compares
+    the records it found with the bytes they came from, and each block is
+    decoded again and compared with them. Blocks are partitions of the scan, so
+    nothing is shuffled. A failure leaves no archive."""
     began = time.time()
-    register(spark)
-    if not files.size(fastq_path):
+    if not sum(map(files.size, files.listed(fastq_path))):
         raise ValueError(f"{fastq_path}: no records")
-    reads = fastq.read_fastq(spark, fastq_path, chunk_bytes)
-    archive.encoded(reads, verify).select("block_id", "block").write.format("readarchive").mode("append").save(archive_path)
+    reads = fastq.read_fastq(spark, fastq_path, chunk_bytes, "exact")
+    archive.write_archive(archive.encoded(reads, verify), archive_path)
     return report(spark, archive_path, fastq_path) | {"seconds": round(time.time() - began, 3)}
 
 
 def report(spark: SparkSession, archive_path: str, fastq_path: str) -> dict:
     heads = archive.read_archive(spark, archive_path, "head").agg(F.count("*").alias("blocks"), F.sum("records").alias("records")).first()
-    a, b = files.size(archive_path), files.size(fastq_path)
+    a, b = files.size(archive_path), sum(map(files.size, files.listed(fastq_path)))
     return {"blocks": heads["blocks"], "records": heads["records"], "archive_bytes": a, "fastq_bytes": b, "ratio": round(b / a, 3)}
 
 

@@ -29,14 +29,18 @@ def couple(reads: DataFrame) -> DataFrame:
 
 
 def uncouple(coded: DataFrame) -> DataFrame:
-    """Inverse of couple: adds ``seq_back`` and ``qual_back``. The number of
-    kept bases before a position is its place in ``dna``."""
-    fold = f"""aggregate(coded, named_struct('s', '', 'at', 0),
-      (a, v) -> named_struct(
-        's', concat(a.s, substring('{ALPHABET}', 1 + if(v >= {COUPLED_BASE}, (v - {COUPLED_BASE}) div 8 + 4, get(dna, a.at)), 1)),
-        'at', a.at + if(v >= {COUPLED_BASE}, 0, 1)), a -> a.s)"""
+    """Inverse of couple: adds ``seq_back`` and ``qual_back``. The kept bases
+    are cut where a base was left out, which goes back in between."""
+    kept = f"array_join(transform(dna, b -> substring('{ALPHABET}', b + 1, 1)), '')"
+    out = f"filter(transform(coded, (v, i) -> named_struct('v', v, 'i', i)), x -> x.v >= {COUPLED_BASE})"
+    base = f"substring('{ALPHABET}', 1 + (x.v - {COUPLED_BASE}) div 8 + 4, 1)"
+    # before the k-th base left out, at place i, i - k kept ones stand
+    part = f"concat(substring(kept, if(k = 0, 0, out[k - 1].i + 1 - k) + 1, x.i - if(k = 0, 0, out[k - 1].i + 1)), {base})"
+    tail = "if(size(out) = 0, kept, substring(kept, element_at(out, -1).i + 2 - size(out), length(kept)))"
+    seq = f"concat(array_join(transform(out, (x, k) -> {part}), ''), {tail})"
     quality = f"array_join(transform(coded, v -> char(33 + if(v >= {COUPLED_BASE}, v & 7, v))), '')"
-    return coded.withColumns({"seq_back": F.expr(fold), "qual_back": F.expr(quality)})
+    parts = coded.withColumns({"kept": F.expr(kept), "out": F.expr(out)})
+    return parts.withColumns({"seq_back": F.expr(seq), "qual_back": F.expr(quality)}).drop("kept", "out")
 
 
 def coupled_lengths(reads: DataFrame) -> DataFrame:

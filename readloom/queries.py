@@ -251,15 +251,27 @@ def fastq_roundtrip(reads: DataFrame) -> DataFrame:
 def archive_scan(reads: DataFrame) -> DataFrame:
     """Write an archive and read its blocks' heads and titles back."""
     path = f"{shared_dir(reads.sparkSession).rstrip('/')}/reads-{uuid.uuid4().hex}.arc"
-    done = archive.encoded(archive.blocks_in_place(reads)).select("block_id", "block")
-    done.write.format("readarchive").mode("append").save(path)
+    archive.write_archive(archive.encoded(archive.blocks_in_place(reads)), path)
     heads = archive.read_archive(reads.sparkSession, path, "head").select("block_id", "records", "chunk_size")
     titles = archive.read_archive(reads.sparkSession, path, "title").groupBy("block_id").agg(F.sum(F.length("title")).cast("long").alias("title_bytes"))
     return heads.join(titles, "block_id")
 
 
+def pack_unpack(reads: DataFrame) -> DataFrame:
+    """Write reads as FASTQ, pack the file, unpack the archive, read that."""
+    from . import api
+
+    spark, path = reads.sparkSession, f"{shared_dir(reads.sparkSession).rstrip('/')}/reads-{uuid.uuid4().hex}"
+    fastq.write_fastq(reads, f"{path}.fastq")
+    api.pack(spark, f"{path}.arc", f"{path}.fastq", 1 << 16)
+    api.unpack(spark, f"{path}.arc", f"{path}.back.fastq")
+    return fastq.read_fastq(spark, f"{path}.back.fastq", 1 << 16, "exact").select("title", "seq", "qual", "plus")
+
+
 TABLE |= {
     "archive_roundtrip": (V.VARIED_SQL, archive_roundtrip, "select block_id, count(*) as records, cast(0 as bigint) as mismatches from reads group by block_id"),
+    "archive_schemes": (V.ARCHIVE_SQL, archive_roundtrip, "select block_id, count(*) as records, cast(0 as bigint) as mismatches from reads group by block_id"),
+    "pack_unpack": (V.VARIED_SQL, pack_unpack, "select title, seq, qual, '+' as plus from reads"),
     "fastq_roundtrip": (V.VARIED_SQL, fastq_roundtrip, "select title, seq, qual, '+' as plus from reads"),
     "archive_scan": (
         V.READS_SQL,
@@ -269,10 +281,30 @@ TABLE |= {
 }
 
 
+READ_LENGTH = 50
+GENERATED = f"""select cast(floor(i / 4096) as bigint) as block_id, count(*) as reads, cast(0 as bigint) as bad_titles, cast(0 as bigint) as bad_bases, cast(0 as bigint) as bad_qualities,
+  cast(count(*) * {READ_LENGTH} as bigint) as bases, true as repeats_fit from (select unnest(range(0, (select count(*) from orders))) as i) group by all"""
+
+
 def generate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of as many generated reads as there are orders: titles and
+    symbols by pattern, and whether about 80 of 100 bases (and a fourth of the
+    others) repeat the one before, to 3 standard deviations of 85 of 100."""
     from .api import generated
 
-    return generated(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").count(), 50)
+    rows = generated(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").count(), READ_LENGTH)
+    same = "size(filter(sequence(2, length(seq)), i -> substring(seq, i, 1) = substring(seq, i - 1, 1)))"
+    wrong = lambda c, p: F.count_if(~F.col(c).rlike(p))
+    per = rows.groupBy("block_id").agg(
+        F.count("*").alias("reads"),
+        F.count_if(~(F.col("title").rlike("^@SRR001471[.][0-9]+ HWI-EAS7:1:3:[0-9]{1,4}:[0-9]{1,4}/1$") & F.col("title").startswith(F.concat(F.lit("@SRR001471."), 1_000_000 + F.col("read_id"), F.lit(" "))))).alias("bad_titles"),
+        wrong("seq", "^[ACGT]+$").alias("bad_bases"),
+        wrong("qual", "^[!-I]+$").alias("bad_qualities"),
+        F.sum(F.length("seq")).cast("long").alias("bases"),
+        F.expr(f"sum({same})").alias("same"),
+    )
+    steps = "(bases - reads)"
+    return per.selectExpr("block_id", "reads", "bad_titles", "bad_bases", "bad_qualities", "bases", f"abs(same - 0.85D * {steps}) <= 3 * sqrt(0.85D * 0.15D * {steps}) + 0.01D * {steps} as repeats_fit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -281,4 +313,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     deep = ("dna_section_bytes", "position_huffman_bits", "block_size_estimate")
-    return {name: _sql(v, body, name in deep) for name, (v, _, body) in TABLE.items()}
+    return {name: _sql(v, body, name in deep) for name, (v, _, body) in TABLE.items()} | {"generate_reads": GENERATED}

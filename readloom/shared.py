@@ -18,5 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="readloom-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_readloom"
+            if conf.get("spark.sql.warehouse.dir", None) is None:
+                raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found)
     return found

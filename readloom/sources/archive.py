@@ -121,9 +121,8 @@ class ArchiveWriter(DataSourceWriter):
 
     def write(self, rows) -> Written:
         out = Written(files.part_name(self.path), [])
-        fs, name = files.at(out.path)
-        at = 0
-        with fs.open_output_stream(name) as f:
+        with files.part(out.path) as f:
+            at = 0
             for r in rows:
                 data = bytes(r["block"])
                 if not data:
@@ -209,6 +208,14 @@ def blocks_in_place(reads: DataFrame) -> DataFrame:
     return reads.repartition("block_id").sortWithinPartitions("block_id", "read_id")
 
 
+def write_archive(blocks: DataFrame, path: str) -> None:
+    """Write (block_id, block) rows as one archive, in the order of block_id."""
+    from . import register
+
+    register(blocks.sparkSession)
+    blocks.select("block_id", "block").write.format("readarchive").mode("append").save(path)
+
+
 def read_archive(spark: SparkSession, path: str, columns: str = "all") -> DataFrame:
     from . import register
 

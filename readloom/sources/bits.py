@@ -37,13 +37,22 @@ class BitWriter:
             self.put([0], 8 - self.n % 8)
 
     def bytes(self) -> bytes:
+        """The bits as 64-bit words: a value lies in one, or in two in a row."""
         self.align()
-        if not self.values:
+        if not self.n:
             return b""
         v, w = np.concatenate(self.values), np.concatenate(self.widths)
+        v, w = v[w > 0], w[w > 0]
         ends = np.cumsum(w)
-        left = np.repeat(ends, w) - np.arange(self.n) - 1  # bits of the value below this one
-        return np.packbits(((np.repeat(v, w) >> left.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
+        word, over = (ends - w) >> 6, ((ends - w) & 63) + w - 64
+        v = v & (~np.uint64(0) >> (64 - w).astype(np.uint64))
+        first = np.where(over > 0, v >> np.maximum(over, 0).astype(np.uint64), v << np.maximum(-over, 0).astype(np.uint64))
+        out = np.zeros(-(-self.n // 64), np.uint64)
+        lead = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[lead]] = np.add.reduceat(first, lead)
+        two = np.flatnonzero(over > 0)
+        out[word[two] + 1] += v[two] << (64 - over[two]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[: self.n // 8]
 
 
 #: Bits looked at together when codes are decoded.
@@ -158,6 +167,74 @@ class PrefixCode:
         out.align()
 
 
+class PrefixCodes:
+    """The codes of many histograms over the same symbols (a row each), built
+    in step: code and width are matrices, rows x symbols."""
+
+    def __init__(self, counts: np.ndarray):
+        rows, n = len(counts), max(2, counts.shape[1])
+        self.n, self.rows = n, rows
+        counts = np.pad(counts.astype(np.int64), ((0, 0), (0, n - counts.shape[1])))
+        live = counts > 0
+        few = np.flatnonzero(live.sum(axis=1) < 2)
+        if len(few):  # the two that come last by (count, symbol)
+            last = np.argsort(counts[few], axis=1, kind="stable")[:, -2:]
+            live[few] = False
+            live[few[:, None], last] = True
+        kinds = live.sum(axis=1)
+        order = np.argsort(-kinds, kind="stable")  # rows with most symbols first, so that those still at work lead
+        counts, live, kinds = counts[order], live[order], kinds[order]
+        none = np.iinfo(np.int64).max
+        node = np.full((rows, 2 * n - 1), none, np.int64)
+        node[:, :n] = np.where(live, np.maximum(counts, 1 if n == 2 else 0), none)
+        most = int(kinds.max(initial=0))
+        work = [int(np.searchsorted(-kinds, -i - 1, side="left")) for i in range(most)]  # rows with over i + 1 symbols
+        kids = np.zeros((2, rows, max(1, most - 1)), np.int64)
+        for i in range(most - 1):
+            own, at = node[: work[i], : n + i], np.arange(work[i])
+            total = np.zeros(work[i], np.int64)
+            for side in range(2):
+                k = own.argmin(axis=1)
+                total += own[at, k]
+                own[at, k] = none
+                kids[side, : work[i], i] = k
+            node[: work[i], n + i] = total
+        code, width = np.zeros((rows, 2 * n - 1), np.uint64), np.zeros((rows, 2 * n - 1), np.int64)
+        for i in reversed(range(most - 1)):
+            at = np.arange(work[i])
+            for side in range(2):
+                k = kids[side, : work[i], i]
+                code[at, k] = 2 * code[at, n + i] + np.uint64(side)
+                width[at, k] = width[at, n + i] + 1
+        back = np.argsort(order, kind="stable")
+        self.code, self.width, self.kinds = code[back, :n], width[back, :n], kinds[back]
+        self.root = n + self.kinds - 2
+
+    def store(self, out: BitWriter) -> None:
+        """All codes, one after another, as PrefixCode.store() writes each. A
+        tree in preorder is, leaf by leaf in order of codes, a 0 for each node
+        on the way that the leaf before did not have, a 1 and the symbol."""
+        out.align()
+        if not self.rows:
+            return
+        if self.width.max() > 50:
+            raise ValueError("a code tree is too deep")
+        wide, most = id_width(self.n), int(self.kinds.max())
+        key = np.where(self.width > 0, self.code << (50 - self.width).astype(np.uint64), np.uint64(1) << np.uint64(50))
+        leaf = np.argsort(key, axis=1, kind="stable")[:, :most]
+        there = np.arange(most)[None, :] < self.kinds[:, None]
+        key, width = np.take_along_axis(key, leaf, 1), np.take_along_axis(self.width, leaf, 1)
+        same = 50 - np.frexp((key[:, 1:] ^ key[:, :-1]).astype(float))[1]  # leading bits like the leaf before
+        new = np.column_stack([width[:, 0], width[:, 1:] - same - 1])
+        sizes = np.where(there, new + 1 + wide, 0)
+        bits = sizes.sum(axis=1)
+        least = np.where(self.width > 0, self.width, 64).min(axis=1)
+        full = lambda x: np.broadcast_to(x, self.rows)
+        values = np.column_stack([13 + -(-bits // 8), self.root, full(self.n), least, leaf | 1 << wide, full(0)])
+        widths = np.column_stack([full(32), full(32), full(32), full(8), sizes, -bits % 8])
+        out.put(values, widths)
+
+
 class PrefixReader:
     """A stored code, decoded through tables of the first bits: symbols, and
     lengths (0 where a code is longer than the window)."""

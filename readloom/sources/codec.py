@@ -30,7 +30,7 @@ from ..schema import (
     TAIL_QUALITY,
     TRUNCATED_RATIO,
 )
-from .bits import BitReader, BitWriter, PrefixCode, PrefixReader, read_each, width_of
+from .bits import BitReader, BitWriter, PrefixCode, PrefixCodes, PrefixReader, read_each, width_of
 
 VARIABLE_LENGTH = 2
 _SPLIT = re.compile(r"([ ._,=:/\-#])")
@@ -48,10 +48,6 @@ def _bytes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("latin-1"), np.uint8)
 
 
-def _split_rows(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-
 # -- coupling ---------------------------------------------------------------
 
 
@@ -75,7 +71,13 @@ def uncouple(dna: np.ndarray, coded: np.ndarray, sizes: np.ndarray, offset: int
     b[~out] = dna
     b[out] = (coded[out] - COUPLED_BASE) // 8 + 4
     q = np.where(out, coded & 7, coded) + offset
-    text = lambda x: [r.tobytes().decode("latin-1") for r in _split_rows(x.astype(np.uint8), sizes)]
+    ends = np.cumsum(sizes).tolist()
+    spans = list(zip([0, *ends], ends, strict=False))
+
+    def text(x: np.ndarray) -> list[str]:
+        whole = x.astype(np.uint8).tobytes().decode("latin-1")
+        return [whole[a:b] for a, b in spans]
+
     return text(_BASES[b]), text(q)
 
 
@@ -126,11 +128,23 @@ def get_dna(r: BitReader, n: int) -> np.ndarray:
 # -- qualities --------------------------------------------------------------
 
 
+def _last_other(coded: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Place of the last value of each read that is not the tail's; -1 if none is."""
+    out = np.full(len(sizes), -1, np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        place = np.arange(len(coded)) - np.repeat(starts, sizes[some])
+        out[some] = np.maximum.reduceat(np.where(coded != TAIL_QUALITY, place, -1), starts)
+    return out
+
+
 def quality_scheme(coded: np.ndarray, sizes: np.ndarray) -> str:
-    rows = _split_rows(coded, sizes)
-    raw = len(coded)
-    rle = sum(1 + int((x[1:] != x[:-1]).sum()) - int(x[-1] == TAIL_QUALITY) for x in rows if len(x))
-    th = sum(int(k[-1]) for x in rows if len(k := np.flatnonzero(x != TAIL_QUALITY)))
+    raw, ends = len(coded), np.cumsum(sizes)[sizes > 0]
+    new = np.r_[True, coded[1:] != coded[:-1]] if raw else np.empty(0, bool)
+    new[ends[:-1]] = True  # each read begins anew
+    rle = int(new.sum()) - int((coded[ends - 1] == TAIL_QUALITY).sum())
+    th = int(np.maximum(_last_other(coded, sizes), 0).sum())
     if rle > 0 and th / rle > RLE_RATIO:
         return "RLE"
     return "TRUNCATED" if th > 0 and raw / th > TRUNCATED_RATIO else "PLAIN"
@@ -165,19 +179,18 @@ def put_quality(out: BitWriter, coded: np.ndarray, sizes: np.ndarray) -> None:
     most = int(sizes.max(initial=0))
     keep = sizes
     if scheme == "TRUNCATED":
-        keep = np.array([min(len(x), max(1, int(k[-1]) + 1 if len(k := np.flatnonzero(x != TAIL_QUALITY)) else 1)) for x in _split_rows(coded, sizes)], np.int64)
+        keep = np.minimum(sizes, np.maximum(1, _last_other(coded, sizes) + 1))
     out.word(most)
     have = _put_set(out, coded)
     grid, live = _by_position(coded, sizes, keep, most)
-    dense = np.searchsorted(have, grid)
-    codes = [PrefixCode(np.bincount(dense[live[:, j], j], minlength=len(have))) for j in range(most)]
-    for c in codes:
-        c.store(out)
-    pick = lambda of: np.stack([of(c)[: max(2, len(have))][np.minimum(dense[:, j], len(have) - 1)] for j, c in enumerate(codes)], axis=1)
-    if most:
-        values, widths = pick(lambda c: c.code), np.where(live, pick(lambda c: c.width), 0)
-    else:
-        values = widths = np.zeros((len(sizes), 0), np.int64)
+    lookup = np.zeros(256, np.int64)
+    lookup[have] = np.arange(len(have))
+    dense, wide = lookup[grid], max(1, len(have))
+    at = np.arange(most)
+    counts = np.bincount((at[None, :] * wide + dense)[live], minlength=most * wide).reshape(most, wide)
+    codes = PrefixCodes(counts)
+    codes.store(out)
+    values, widths = codes.code[at[None, :], dense], np.where(live, codes.width[at[None, :], dense], 0)
     if scheme == "TRUNCATED":
         varied = bool(sizes.min() != sizes.max())
         out.put([int(varied)], 1)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -23,7 +25,7 @@ DDL = "read_id bigint, block_id bigint, title string, seq string, qual string, p
 ARROW = pa.schema([("read_id", pa.int64()), ("block_id", pa.int64()), ("title", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("plus", pa.string())])
 #: A read's id: its block's number above, its place in the block below.
 PLACE_BITS = 32
-_LINE = re.compile(rb"\r\n|\n|\r")
+_LINE = re.compile(r"\r\n|\n|\r")
 
 
 def last_record(window: bytes, tail: int = TAIL) -> int | None:
@@ -64,24 +66,60 @@ def chunks(path: str, chunk_bytes: int = BLOCK_BYTES) -> list[tuple[int, int]]:
     return out
 
 
-def parse(data: bytes) -> tuple[list[str], list[str], list[str], list[str]]:
+Fields = tuple[list[str], list[str], list[str], list[str]]
+
+
+def parse(data: bytes) -> Fields:
     """Titles, sequences, qualities and third lines up to the first bad record."""
-    lines = _LINE.split(data)
+    text = data.decode("latin-1")
+    lines = _LINE.split(text) if "\r" in text else text.split("\n")
     if lines and not lines[-1]:
         lines.pop()
-    titles, seqs, quals, pluses = [], [], [], []
-    for k in range(0, len(lines) - 3, 4):
-        title, seq, plus, qual = lines[k : k + 4]
-        if title[:1] != b"@" or not plus or len(seq) != len(qual):
-            break
-        for to, x in ((titles, title), (seqs, seq), (quals, qual), (pluses, plus)):
-            to.append(x.decode("latin-1"))
+    k = len(lines) - len(lines) % 4
+    fields = titles, seqs, pluses, quals = lines[0:k:4], lines[1:k:4], lines[2:k:4], lines[3:k:4]
+    if not (all(map(str.startswith, titles, repeat("@"))) and all(pluses) and list(map(len, seqs)) == list(map(len, quals))):
+        good = next(i for i, (t, s, p, q) in enumerate(zip(*fields, strict=True)) if not (t.startswith("@") and p and len(s) == len(q)))
+        titles, seqs, pluses, quals = (x[:good] for x in fields)
     return titles, seqs, quals, pluses
 
 
+def rendered(titles: list[str], seqs: list[str], quals: list[str]) -> bytes:
+    """The text that an archive gives back for these records."""
+    return "".join([f"{t}\n{s}\n+\n{q}\n" for t, s, q in zip(titles, seqs, quals, strict=True)]).encode("latin-1")
+
+
+#: What a reader does with bytes that are no valid record: read up to them
+#: (prefix), raise (strict), or raise for any byte that packing would change,
+#: such as other line ends and repeated titles (exact). A last line end may be
+#: missing in all.
+MODES = ("prefix", "strict", "exact")
+
+
+def parse_as(mode: str, data: bytes, where: str, start: int) -> Fields:
+    """parse(), checked as the mode says; where and start name the place."""
+    found = parse(data)
+    if mode == "prefix" and found[0]:
+        return found
+    n = len(found[0])
+    ends = [m.end() for m in _LINE.finditer(data.decode("latin-1"))] if not n or mode == "strict" else []
+    done = 0 if not n else len(data) if 4 * n > len(ends) else ends[4 * n - 1]
+    if mode == "strict" or not n:
+        if not n or data[done:].strip(b"\r\n"):
+            raise ValueError(f"{where}: no valid record at byte {start + done}")
+        return found
+    back = rendered(*found[:3])
+    if back != data and back != data + b"\n":
+        a, b = np.frombuffer(back, np.uint8), np.frombuffer(data, np.uint8)
+        n = min(len(a), len(b))
+        at = int(np.flatnonzero(a[:n] != b[:n])[0]) if (a[:n] != b[:n]).any() else n
+        raise ValueError(f"{where}: byte {start + at} would be lost or changed: a bad record, another line end or a repeated title")
+    return found
+
+
 @dataclass
 class Chunk(InputPartition):
     block_id: int
+    path: str
     start: int
     end: int
 
@@ -112,17 +150,18 @@ class FastqReader(BlockPushdown, DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.chunk = int(options.get("chunkbytes", BLOCK_BYTES))
+        self.mode = options.get("mode", "strict")
+        if self.mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}")
 
     def partitions(self) -> list[InputPartition]:
-        every = chunks(self.path, self.chunk)
-        return [Chunk(i, *every[i]) for i in kept_blocks(self.block_filters, list(range(len(every))))] or [Chunk(-1, 0, 0)]
+        every = [(p, *c) for p in files.listed(self.path) for c in chunks(p, self.chunk)]
+        return [Chunk(i, *every[i]) for i in kept_blocks(self.block_filters, list(range(len(every))))] or [Chunk(-1, "", 0, 0)]
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
         if part.block_id < 0:
             return
-        titles, seqs, quals, pluses = parse(files.read(self.path, part.start, part.end - part.start))
-        if not titles:
-            raise ValueError(f"{self.path}: no valid record from byte {part.start}")
+        titles, seqs, quals, pluses = parse_as(self.mode, files.read(part.path, part.start, part.end - part.start), part.path, part.start)
         ids = range(part.block_id << PLACE_BITS, (part.block_id << PLACE_BITS) + len(titles))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([part.block_id] * len(titles), pa.int64()), pa.array(titles), pa.array(seqs), pa.array(quals), pa.array(pluses)], schema=ARROW)
 
@@ -144,8 +183,7 @@ class FastqWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         part = Part(TaskContext.get().partitionId(), files.part_name(self.path))
-        fs, name = files.at(part.path)
-        with fs.open_output_stream(name) as f:
+        with files.part(part.path) as f:
             held = []
             for r in rows:
                 plus = "+" + r["title"][1:] if self.repeat else "+"
@@ -168,7 +206,9 @@ class FastqWriter(DataSourceWriter):
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq")``; options chunkBytes, plusRepetition (writing)."""
+    """``spark.read.format("fastq")``; options chunkBytes, mode (one of MODES),
+    plusRepetition (writing). The path is a file, a folder or a glob; the files'
+    blocks are numbered on in the order of their names."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,11 +224,11 @@ class FastqSource(DataSource):
         return FastqWriter(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, mode: str = "strict") -> DataFrame:
     from . import register
 
     register(spark)
-    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).load(path)
+    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).load(path)
 
 
 def write_fastq(reads: DataFrame, path: str, plus_repetition: bool = False) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextlib import contextmanager
+from fnmatch import fnmatchcase
 
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType
 
 
 def at(path: str) -> tuple[FileSystem, str]:
@@ -19,6 +22,24 @@ def size(path: str) -> int:
     return info.size
 
 
+def listed(path: str) -> list[str]:
+    """The files that path means, by name: itself, those in the folder (without
+    hidden ones), or those that match a pattern in its last part."""
+    fs, p = at(path)
+    lead = path[: len(path) - len(p)] if path.endswith(p) else ""
+    top, _, last = p.rpartition("/")
+    if re.search(r"[*?\[]", last):
+        found = [f for f in fs.get_file_info(FileSelector(top or ".")) if f.type == FileType.File and fnmatchcase(f.base_name, last)]
+    elif fs.get_file_info(p).type == FileType.Directory:
+        found = [f for f in fs.get_file_info(FileSelector(p)) if f.type == FileType.File and f.base_name[0] not in "._"]
+    else:
+        size(path)
+        return [path]
+    if not found:
+        raise FileNotFoundError(path)
+    return [lead + f.path for f in sorted(found, key=lambda f: f.path)]
+
+
 def read(path: str, offset: int, n: int) -> bytes:
     fs, p = at(path)
     with fs.open_input_file(p) as f:
@@ -30,6 +51,18 @@ def part_name(path: str) -> str:
     return f"{path}.part-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def part(path: str):
+    """A stream to write path; a failure leaves no file."""
+    fs, name = at(path)
+    try:
+        with fs.open_output_stream(name) as f:
+            yield f
+    except BaseException:
+        remove([path])
+        raise
+
+
 def remove(paths) -> None:
     for p in paths:
         fs, name = at(p)

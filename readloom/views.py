@@ -32,6 +32,15 @@ TITLES_SQL = f"""select read_id, block_id,
     cast(cast(floor(read_id % 512 / 40) as bigint) % 2 * 100 as varchar(20)), ':', cast(cast(floor(read_id % 512 / 40) as bigint) * 1000 + read_id as varchar(20)), ':',
     cast(read_id * 7919 % 401 as varchar(20)), ':', substring(md5(cast(read_id as varchar(20))), 1, cast(2 + read_id % 5 as int)), '/1') as title, seq, qual from ({READS_SQL}) r"""
 
+#: What the archive holds in every scheme: title fields that are constant, of
+#: constant or varied deltas, of few or many values, text; by turns two bits a
+#: base, five symbols, none; qualities plain, cut, in runs, and of one symbol.
+ARCHIVE_SQL = f"""select read_id, block_id,
+  concat('@RUN.', cast(5 * read_id as varchar(20)), ':', cast(7 * read_id + read_id % 2 as varchar(20)), ':', cast(read_id * 7919 % 401 as varchar(20)), ':', cast(read_id * 7919 % 100003 as varchar(20)), ':',
+    substring(md5(cast(read_id as varchar(20))), 1, cast(2 + read_id % 5 as int)), '/1') as title,
+  case block_id % 4 when 0 then translate(seq, 'N', 'A') when 1 then seq when 2 then repeat('N', 32) else translate(seq, 'N', 'T') end as seq,
+  case block_id % 4 when 2 then repeat('#', 32) when 3 then repeat('I', 32) else qual end as qual from ({READS_SQL}) r"""
+
 #: Some records broken: no @, a base missing, an empty third line.
 BROKEN_SQL = f"""select read_id, block_id, case when read_id % 211 = 100 then substring(title, 2, 100) else title end as title,
   case when read_id % 307 = 200 then substring(seq, 1, 31) else seq end as seq, qual,
@@ -42,8 +51,12 @@ MIXED_SQL = f"""select read_id, block_id, case when block_id % 2 = 1 and read_id
 
 
 def view(spark: SparkSession, sf_dir: str, text: str = READS_SQL) -> DataFrame:
-    """Rows of one of the texts above over sf_dir's orders."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    """Rows of one of the texts above over sf_dir's orders. Reads are larger
+    than the rows they are made from, so rows of few splits are dealt out first."""
+    orders, cores = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores)
+    orders.createOrReplaceTempView("orders")
     return spark.sql(text)
 
 

@@ -73,6 +73,37 @@ def test_codes_beat_flat_width():
     assert lone.width[1] == 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9))
+def test_codes_in_step(seed):
+    """Many codes at once are those built one by one, and so are their bytes."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    counts = rng.integers(0, rng.choice([2, 5, 1000]), (int(rng.integers(0, 30)), n)) * rng.integers(0, 2, n)
+    many, one = bits.PrefixCodes(counts), [bits.PrefixCode(c) for c in counts]
+    for k, c in enumerate(one):
+        assert many.code[k].tolist() == c.code.tolist()
+        assert many.width[k].tolist() == c.width.tolist()
+    a, b = bits.BitWriter(), bits.BitWriter()
+    for w in (a, b):
+        w.put([1], 3)
+    many.store(a)
+    for c in one:
+        c.store(b)
+    assert a.bytes() == b.bytes()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 64)), max_size=200))
+def test_packed_bits(parts):
+    out = bits.BitWriter()
+    for v, w in parts:
+        out.put(np.array([v], np.uint64), w)
+    text = "".join(format(v & (1 << w) - 1, f"0{w}b") for v, w in parts if w)
+    text += "0" * (-len(text) % 8)
+    assert out.bytes() == bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8))
+
+
 def test_reader_refuses_to_run_over():
     r = bits.BitReader(b"\xf0")
     assert r.get(4) == 15

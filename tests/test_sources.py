@@ -116,3 +116,80 @@ def test_write_order(spark, tmp_path):
     fastq.write_fastq(rows, str(tmp_path / "o.fastq"))
     titles = fastq.parse((tmp_path / "o.fastq").read_bytes())[0]
     assert [int(t.split(".")[1].split()[0]) for t in titles] == list(range(1_000_000, 1_000_300))
+
+
+def broken(name: str) -> str:
+    good = text_of(100)
+    lines = good.split("\n")
+    match name:
+        case "bad record":
+            return "\n".join([*lines[:21], lines[21][:-1], *lines[22:]])
+        case "no title":
+            return "\n".join([*lines[:200], "x" + lines[200], *lines[201:]])
+        case "cut off":
+            return "\n".join(lines[:-2]) + "\n"
+        case "half a title":
+            return good + "@READ"
+        case "repeated title":
+            return "\n".join(x if k % 4 != 2 else "+" + lines[k - 2][1:] for k, x in enumerate(lines))
+        case "other line ends":
+            return good.replace("\n", "\r\n")
+
+
+@pytest.mark.parametrize("name", ["bad record", "no title", "cut off", "half a title", "repeated title", "other line ends"])
+@pytest.mark.parametrize("chunk", [1 << 20, 2000])
+def test_pack_refuses_what_would_not_come_back(spark, tmp_path, name, chunk):
+    (tmp_path / "a.fastq").write_bytes(broken(name).encode())
+    with pytest.raises(Exception, match="at byte|byte [0-9]+ would"):
+        api.pack(spark, str(tmp_path / "a.arc"), str(tmp_path / "a.fastq"), chunk_bytes=chunk)
+    assert [f.name for f in tmp_path.iterdir()] == ["a.fastq"]
+
+
+def test_last_line_end_may_be_missing(spark, tmp_path):
+    text = text_of(100)
+    (tmp_path / "a.fastq").write_text(text[:-1])
+    assert api.pack(spark, str(tmp_path / "a.arc"), str(tmp_path / "a.fastq"), chunk_bytes=3000)["records"] == 100
+    api.unpack(spark, str(tmp_path / "a.arc"), str(tmp_path / "b.fastq"))
+    assert (tmp_path / "b.fastq").read_text() == text
+
+
+def test_modes(spark, tmp_path):
+    text = broken("bad record").encode()
+    (tmp_path / "a.fastq").write_bytes(text)
+    read = lambda mode: fastq.read_fastq(spark, str(tmp_path / "a.fastq"), mode=mode)
+    assert read("prefix").count() == 5
+    at = len(b"\n".join(text.split(b"\n")[:20])) + 1
+    with pytest.raises(Exception, match=f"no valid record at byte {at}"):
+        read("strict").count()
+    (tmp_path / "a.fastq").write_bytes(broken("other line ends").encode())
+    assert read("strict").count() == 100
+    assert read("strict").where("seq like '%\r%' or plus <> '+'").count() == 0
+
+
+def test_folder_and_pattern(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.fastq").write_text(text_of(10 + k, k))
+    (tmp_path / "in" / "_hidden").write_text("x")
+    every = fastq.read_fastq(spark, str(tmp_path / "in"))
+    assert [(r["block_id"], r["count"]) for r in every.groupBy("block_id").count().orderBy("block_id").collect()] == [(0, 10), (1, 11), (2, 12)]
+    assert fastq.read_fastq(spark, str(tmp_path / "in" / "[12].fastq")).count() == 23
+    with pytest.raises(Exception, match="No such|\\*"):
+        fastq.read_fastq(spark, str(tmp_path / "in" / "*.none")).count()
+    assert api.pack(spark, str(tmp_path / "a.arc"), str(tmp_path / "in"))["records"] == 33
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from readloom.__main__ import main
+
+    path = lambda x: str(tmp_path / x)
+    for args in ([], ["pack", "a"], ["pack", "a", "b", "two"], ["generate", "a", "1"], ["mend", "a", "b"]):
+        assert main(args) == 2
+    assert main(["generate", path("a.fastq"), "300", "40"]) == 0
+    assert main(["pack", path("a.arc"), path("a.fastq")]) == 0
+    assert "300" in capsys.readouterr().out
+    assert main(["unpack", path("a.arc"), path("b.fastq"), "2"]) == 0
+    assert (tmp_path / "a.fastq").read_text() == (tmp_path / "b.fastq").read_text()
+    assert main(["unpack", path("none.arc"), path("c.fastq")]) == 1
+    assert main(["pack", path("c.arc"), path("none.fastq")]) == 1
+    assert "error" in capsys.readouterr().err
