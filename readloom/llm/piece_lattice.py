@@ -33,8 +33,8 @@ there: what is shuffled is dictionaries, never texts or occurrences of words.
 Defined cases: null or empty text has no ids and decodes to the empty text;
 repeated rows each get a row; a null id is kept; an empty table gives an empty
 result; only the id and text columns are read, so others cannot clash; long
-texts and words are whole (a word's edges are one row: a run of one character
-costs more than its length). Ids that decode to bytes which are not UTF-8 give
+texts and words are whole (a word's edges are one row, and the cost of a run of
+one character grows with the square of its length). Ids that decode to bytes which are not UTF-8 give
 U+FFFD for each such byte, unknown ids `` U+2047 ``, control ids nothing, as in
 the library; an id outside the model raises ValueError.
 """
@@ -70,8 +70,8 @@ CUT_BEYOND = 32
 CHUNK_CHARS = 64 << 20
 BATCH_WORDS = 200_000
 #: Common words that every dictionary begins with, and documents they are taken from.
-HOT = 200_000
-SAMPLE_DOCS = 20_000
+HOT = 300_000
+SAMPLE_DOCS = 12_000
 #: Dictionary rows of a task that folds words.
 FOLD_ROWS = 250_000
 #: Characters of a word that are exploded at a time.
@@ -105,6 +105,11 @@ class Pieces:
         joined = {x[1] for x in self.pairs if re.match(_LETTER, x[0])}
         return "".join(c for c in string.punctuation if c not in joined)
 
+    @cached_property
+    def singles(self) -> str:
+        """Characters that are a piece, in order of ids."""
+        return "".join(p for p, _, _ in sorted(self.table, key=lambda x: x[2]) if len(p) == 1)
+
     @cached_property
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.table), default=1)
@@ -209,12 +214,12 @@ class Words(dict):
         text = text.replace(MARK, " ")
         words = self.find(" " + text if self.model.prefix else text)
         self.cut = False
-        got = list(map(self.__getitem__, words))
+        got = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if self.cut:
-            self.whole = True
-            got = list(map(self.__getitem__, [p for w in words for p in self.parts(w)]))
+            self.whole, words = True, [p for w in words for p in self.parts(w)]
+            got = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
             self.whole = False
-        return np.array(got, np.int32)
+        return got
 
 
 def common_words(docs: DataFrame, model: Pieces, text_col: str = "text", most: int = HOT, sample_docs: int = SAMPLE_DOCS) -> list[str]:
@@ -228,9 +233,8 @@ def common_words(docs: DataFrame, model: Pieces, text_col: str = "text", most: i
         find, prefix = Words(model).find, " " * model.prefix
         for b in batches:
             seen = Counter()
-            for text in b.column("text"):
-                if text.as_py():
-                    seen.update(find(prefix + text.as_py().replace(MARK, " ")))
+            for text in filter(None, b.column("text").to_pylist()):
+                seen.update(find(prefix + text.replace(MARK, " ")))
             own = [(w, n) for w, n in seen.items() if len(w) <= CUT_BEYOND]
             yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in own], pa.string()), "times": pa.array([n for _, n in own], pa.int64())})
 
@@ -238,15 +242,15 @@ def common_words(docs: DataFrame, model: Pieces, text_col: str = "text", most: i
     return found.orderBy(F.desc("times"), "word").limit(most).select("word").toArrow()["word"].to_pylist()
 
 
-def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: list[str] = ()) -> DataFrame:
+def dictionaries(docs: DataFrame, model: Pieces, folder: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: list[str] = ()) -> DataFrame:
     """(chunk, at, word): the dictionary of each chunk from place len(hot) on,
-    and at place -1 the file that holds the chunk's documents as (id, th, low,
-    high), the latter being the halves of places. A task writes files under
-    names of its own attempt; the rows are written to a table, so only files of
-    attempts that succeeded are ever named."""
+    and a row for the chunk itself at place -1. A file in ``folder`` that bears
+    the chunk's number holds its documents as (id, th, low, high), the latter
+    being the halves of places. A chunk's number is drawn by the attempt that
+    writes it, and the rows go to a table, so only files of attempts that
+    succeeded are ever read."""
     spark = docs.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
     shared = spark.sparkContext.broadcast(list(hot))  # HOT words of CUT_BEYOND characters at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +258,10 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
 
         fs, top = FileSystem.from_uri(folder)
         fs.create_dir(f"{top}/docs", recursive=True)
-        own, out, path, chars, held, size = Words(model, shared.value), None, "", 0, [], 0
+        own, out, chunk, chars, held, size = Words(model, shared.value), None, 0, 0, [], 0
 
         def flush() -> None:
-            nonlocal out, path, held, size
+            nonlocal out, chunk, held, size
             if not held:
                 return
             ids, th, words = zip(*held, strict=True)
@@ -266,8 +270,8 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
             halves = [pa.ListArray.from_arrays(ends, x.astype(np.uint16)) for x in (flat & 0xFFFF, flat >> 16)]
             b = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(th, pa.int64()), *halves], ["id", "th", "low", "high"])
             if out is None:
-                path = f"{top}/docs/{uuid.uuid4().hex}.arrow"
-                out = pa.ipc.new_file(fs.open_output_stream(path), b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                chunk = uuid.uuid4().int >> 65
+                out = pa.ipc.new_file(fs.open_output_stream(f"{top}/docs/{chunk}.arrow"), b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
             out.write_batch(b)
             held, size = [], 0
 
@@ -276,21 +280,21 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
             flush()
             if out is not None:
                 out.close()
-                chunk = uuid.uuid4().int >> 65
                 n = len(shared.value)
                 words = [w.replace(" ", MARK) for w in islice(own, n, None)]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "at": pa.array([-1], pa.int32()), "word": pa.array([path])})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "at": pa.array([-1], pa.int32()), "word": pa.array([""])})
                 for k in range(0, len(words), 50_000):
                     part = words[k : k + 50_000]
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(part), chunk)), "at": pa.array(np.arange(n + k, n + k + len(part), dtype=np.int32)), "word": pa.array(part, pa.string())})
             out, own, chars = None, Words(model, shared.value), 0
 
         for b in batches:
-            for k, text in enumerate(b.column("text")):
-                words = own.places(text.as_py())
-                held.append((b.column("id")[k : k + 1], b.column("th")[k].as_py(), words))
+            keys = b.column("id")
+            for k, (text, th) in enumerate(zip(b.column("text").to_pylist(), b.column("th").to_pylist(), strict=True)):
+                words = own.places(text)
+                held.append((keys[k : k + 1], th, words))
                 size += len(words) + 100
-                chars += len(text.as_py() or "")
+                chars += len(text or "")
                 if size > BATCH_WORDS:
                     flush()
                 if chars > chunk_chars:
@@ -298,7 +302,7 @@ def dictionaries(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_co
         yield from close()
 
     rows = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    rows.mapInArrow(run, "chunk long, at int, word string").write.parquet(f"{folder}/rows")
+    rows.mapInArrow(run, "chunk long, at int, word string").write.option("compression", "zstd").parquet(f"{folder}/rows")
     return spark.read.parquet(f"{folder}/rows")
 
 
@@ -368,7 +372,7 @@ def solved(words: DataFrame, model: Pieces) -> DataFrame:
         part = lambda low, bits: f"cast(shiftright(x, {low}) & {(1 << bits) - 1} as int)"
         far = f"if(s >= {1 << room}, raise_error('a word of {1 << room} characters or more that cannot be cut'), cast(s as bigint))"
         edge = f"shiftleft(cast(rank as bigint), {room + size + ids + 2}) | shiftleft({far}, {size + ids + 2}) | shiftleft(cast(m as bigint), {ids + 2}) | shiftleft(cast(id as bigint), 2) | cast(stands as bigint)"
-        each = f"transform(sort_array(edges), x -> transform(array({part(size + ids + 2, room)}), s -> named_struct('s', s, 'e', s + {part(ids + 2, size)}, 'id', {part(2, ids)}, 'mark', cast(x & 3 as int)))[0])"
+        each = f"transform(sort_array(edges), x -> named_struct('s', {part(size + ids + 2, room)}, 'e', {part(size + ids + 2, room)} + {part(ids + 2, size)}, 'id', {part(2, ids)}, 'mark', cast(x & 3 as int)))"
         name, fold = "many", _merge(most)
     edges = edges.select("w1", "w2", "n", F.expr(edge).alias("x"))
     edges = edges.groupBy("w1", "w2").agg(F.max("n").alias("n"), F.collect_list("x").alias("edges"))
@@ -380,8 +384,10 @@ def solved(words: DataFrame, model: Pieces) -> DataFrame:
 
 
 def answers(rows: DataFrame, model: Pieces) -> DataFrame:
-    """(chunk, at, ids) of dictionary rows (chunk, at, word). A character that
-    stays alone is -1 less its code point."""
+    """(chunk, at, ids, lone) of dictionary rows (chunk, at, word). A character
+    that stays alone is -1 less its place, from 1, among model.singles; -1 is
+    one without a piece, whose code point is in lone."""
+    kind = "smallint" if max(i for _, _, i in model.table) < 1 << 15 > len(model.singles) + 1 else "int"
     w1, w2 = F.xxhash64("word"), F.xxhash64(F.lit("word"), "word")
     n = max(1, -(-rows.count() // FOLD_ROWS))
     dealt = rows.repartition(n, w1, w2).select("chunk", "at", "word", w1.alias("w1"), w2.alias("w2"))
@@ -389,7 +395,12 @@ def answers(rows: DataFrame, model: Pieces) -> DataFrame:
     distinct = dealt.groupBy("w1", "w2", "word").agg(F.min("chunk").alias("c"), F.min("at").alias("a")).where("a >= 0 and c >= 0").select("w1", "w2", "word")
     both = dealt.join(solved(distinct, model), ["w1", "w2"], "left")
     ids = "coalesce(ids, transform(sequence(0, char_length(word) - 1), s -> -1 - s))"
-    return both.select("chunk", "at", "word", F.expr(ids).alias("ids")).select("chunk", "at", F.expr("if(exists(ids, i -> i < 0), transform(ids, i -> if(i < 0, -1 - ascii(substring(word, -i, 1)), i)), ids)").alias("ids"))
+    both = both.select("chunk", "at", "word", F.expr(ids).alias("ids"))
+    known = "'" + "".join(c if c not in "\\'" else "\\" + c for c in model.singles) + "'"
+    place = f"instr({known}, substring(word, -i, 1))"
+    both = both.select("chunk", "at", "word", "ids", F.expr(f"transform(ids, i -> cast(if(i < 0, -1 - {place}, i) as {kind}))").alias("done"))
+    lone = f"if(array_contains(done, cast(-1 as {kind})), transform(filter(ids, i -> i < 0 and {place} = 0), i -> ascii(substring(word, -i, 1))), cast(array() as array<int>))"
+    return both.select("chunk", "at", F.col("done").alias("ids"), F.expr(lone).alias("lone"))
 
 
 # -- documents --------------------------------------------------------------
@@ -401,19 +412,18 @@ class Singles:
     """The ids of characters that stay alone, put in place of their marks."""
 
     def __init__(self, model: Pieces):
-        one = sorted((ord(p), i) for p, _, i in model.table if len(p) == 1)
-        self.point, self.id = (np.array([x[k] for x in one], np.int64) for k in (0, 1))
+        ids = {p: i for p, _, i in model.table}
+        self.id = np.array([0, 0, *(ids[c] for c in model.singles)], np.int32)  # by mark: -1 - place
         self.byte0 = model.byte0
 
-    def put(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """flat: answers of words of the given sizes, one after another."""
-        flat = flat.astype(np.int32)
-        at = np.flatnonzero(flat < 0)
-        point = -1 - flat[at].astype(np.int64)
-        k = np.minimum(np.searchsorted(self.point, point), max(0, len(self.point) - 1))
-        known = self.point[k] == point if len(self.point) else np.zeros(len(at), bool)
-        flat[at[known]] = self.id[k[known]]
-        at, point = at[~known], point[~known]
+    def put(self, ids: list[pa.Array], lone: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words one after another, and how many are of each word; from
+        answers' columns."""
+        size = np.concatenate([x.value_lengths().to_numpy() for x in ids] or [np.empty(0)]).astype(np.int64)
+        flat = np.concatenate([x.flatten().to_numpy() for x in ids] or [np.empty(0)]).astype(np.int32)
+        at, alone = np.flatnonzero(flat == -1), np.flatnonzero(flat < -1)
+        flat[alone] = self.id[-flat[alone]]
+        point = np.concatenate([x.flatten().to_numpy() for x in lone] or [np.empty(0)]).astype(np.int64)
         if not len(at):
             return flat, size
         wide = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
@@ -471,40 +481,38 @@ class Decoder:
 
 
 def solved_words(words: list[str], docs: DataFrame, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and ids, one after another, of a bounded list of words."""
+    """Ids, one after another, and sizes of a bounded list of words."""
     rows = docs.sparkSession.createDataFrame([(0, k, w.replace(" ", MARK)) for k, w in enumerate(words)], "chunk long, at int, word string")
-    got = answers(rows, model).orderBy("at").toArrow().combine_chunks()
-    lists = got["ids"].combine_chunks() if got["ids"].num_chunks != 1 else got["ids"].chunk(0)
-    return Singles(model).put(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+    got = answers(rows, model).toArrow().sort_by("at")
+    return Singles(model).put(got["ids"].chunks, got["lone"].chunks)
 
 
-def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataType, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, th, n_words, ids, text) of every document of the chunks: text is
-    decoded from the ids. found: answers; rows: dictionaries; hot: ids and
-    sizes of the first places of all."""
+def assembled(found: DataFrame, rows: DataFrame, model: Pieces, folder: str, id_type: T.DataType, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, th, n_words, ids, text) of every document of the chunks in folder:
+    text is decoded from the ids. found: answers; rows: dictionaries; hot: ids
+    and sizes of the first places of all."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(hot)  # of HOT words
-    files = rows.where("at < 0")
-    n = max(1, files.count())
-    every = found.select("chunk", "at", "ids", F.lit(None).cast("string").alias("path")).unionByName(files.select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), F.col("word").alias("path")))
-    folder = shared_dir(spark)
+    chunks = rows.where("at < 0").select("chunk", "at")
+    n = max(1, chunks.count())
+    none = [F.array().cast(found.schema[c].dataType).alias(c) for c in ("ids", "lone")]
+    every = found.unionByName(chunks.select("chunk", "at", *none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
-        fs, _ = FileSystem.from_uri(folder)
+        fs, top = FileSystem.from_uri(folder)
         decoder, singles = Decoder(model), Singles(model)
         first, first_size = shared.value
 
-        def of(path: str, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(chunk: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([p.column("at").to_numpy() for p in parts] or [np.empty(0, np.int32)])
             if (at != np.arange(len(first_size), len(first_size) + len(at))).any():
-                raise ValueError(f"{path}: words of the dictionary are missing")
-            size = np.concatenate([p.column("ids").value_lengths().to_numpy() for p in parts] or [np.empty(0)]).astype(np.int64)
-            flat, size = singles.put(np.concatenate([p.column("ids").flatten().to_numpy() for p in parts] or [np.empty(0, np.int32)]), size)
+                raise ValueError(f"chunk {chunk}: words of the dictionary are missing")
+            flat, size = singles.put([p.column("ids") for p in parts], [p.column("lone") for p in parts])
             flat, size = np.concatenate([first, flat]), np.concatenate([first_size, size])
             start = np.cumsum(size) - size
-            with fs.open_input_file(path) as f:
+            with fs.open_input_file(f"{top}/docs/{chunk}.arrow") as f:
                 file = pa.ipc.open_file(f)
                 for k in range(file.num_record_batches):
                     b = file.get_batch(k)
@@ -517,7 +525,7 @@ def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataT
                     lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.diff(off)), lists, decoder.texts(ids, ends).cast(pa.string())], ["id", "th", "n_words", "ids", "text"])
 
-        chunk, path, parts = None, "", []
+        chunk, parts = None, []
         for b in batches:
             c = b.column("chunk").to_numpy()
             edges = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(c) else []
@@ -525,12 +533,11 @@ def assembled(found: DataFrame, rows: DataFrame, model: Pieces, id_type: T.DataT
                 part = b.slice(lo, hi - lo)
                 if c[lo] != chunk:
                     if chunk is not None:
-                        yield from of(path, parts)
-                    chunk, path, parts = c[lo], part.column("path")[0].as_py(), []
-                    part = part.slice(1)
+                        yield from of(chunk, parts)
+                    chunk, parts, part = c[lo], [], part.slice(1)
                 parts.append(part)
         if chunk is not None:
-            yield from of(path, parts)
+            yield from of(chunk, parts)
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
     return every.repartition(n, "chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, schema)
@@ -540,8 +547,9 @@ def encoded(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: st
     """(id, th, n_words, ids, text) for each row: th is the text's digest, ids
     its whole id sequence, text what the ids decode to."""
     first = common_words(docs, model, text_col, hot)
-    rows = dictionaries(docs, model, id_col, text_col, chunk_chars, first)
-    return assembled(answers(rows.where("at >= 0"), model), rows, model, docs.schema[id_col].dataType, solved_words(first, docs, model))
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/words-{uuid.uuid4().hex}"
+    rows = dictionaries(docs, model, folder, id_col, text_col, chunk_chars, first)
+    return assembled(answers(rows.where("at >= 0"), model), rows, model, folder, docs.schema[id_col].dataType, solved_words(first, docs, model))
 
 
 def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, hot: int = HOT) -> DataFrame:
