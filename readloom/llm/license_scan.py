@@ -3,20 +3,29 @@
 A text is lower-cased (A-Z only) and split into words
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Base labels come from phrases whose
 words stand consecutively. The method adds labels from notices (templates): a
-notice of m words is compared with text blocks of 2m words that start at every
-m-th word, so that each run of m words lies whole in some block. A block holds
-a notice when it has at least ``threshold`` of the notice's distinct words.
+block of a notice's 2m words, m being its length, holds the notice when it has
+at least ``threshold`` of its distinct words, those that tell it from others
+among them. Blocks start at every word.
 
 Candidates come from an exact containment join. The words of the notices are
 ordered by how many documents of the corpus hold them, rarest first (ties: by
-word). With o = ceil(threshold * s) words needed of s, a block that fits must
-hold one of the s - o + 1 rarest (prefix filter) and have o distinct words
-(length filter); if the first one held is at place p, at most s - p can be held
-(positional filter). Candidates are then counted exactly.
+word). With o = ceil(threshold * s) words needed of s:
+
+* prefix filter: a block that fits holds one of the s - o + 1 rarest, so only
+  the places of these are looked at, with the words up to 2m around them;
+* positional filter: a block is looked at for its rarest word alone, so words
+  before that in the order do not count there, and the word itself and those
+  after it around it must be o distinct ones at least;
+* length filter: the blocks are those that start at a word of the notice (any
+  other holds no more than the next such), and must have o distinct words.
 
 The notices and their prefix index are a fixed parameter, broadcast. Only
-DataFrame functions are used. Defined cases: null text is empty and has no
-label; repeated rows share a result; an empty table gives an empty result.
+DataFrame functions are used.
+
+Defined cases: null text is empty and has no label; a null id is kept; repeated
+rows share a result; a label that several notices or phrases give is listed
+once; an empty table gives an empty result; texts are read whole, however long;
+only the id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -30,20 +39,49 @@ from pyspark.sql import functions as F
 from .common import checkpoint, digest_of, let, sized
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: (label, notice); words only, as the tokens of this module.
+#: (label, notice, words of it that must be there); words only, as the tokens of this module.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("all-rights-reserved", "all rights reserved no part may be reproduced without permission"),
+    ("mit", "released under the mit license", "mit"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "granted sublicense",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "fee",
+    ),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache compliance",
+    ),
+    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general 3"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gnu general",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "binary retain",
+    ),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution"),
+    ("all-rights-reserved", "all rights reserved no part may be reproduced without permission", "reserved"),
 ]
+#: Words that make another licence of the one whose notice they stand in.
+OTHERWISE = {"gpl-3": ["lesser", "affero", "library"], "gpl": ["lesser", "affero", "library"], "cc-by": ["noncommercial", "nc", "sharealike", "sa", "noderivatives", "noderivs", "nd"]}
 THRESHOLD = 0.8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -82,33 +120,35 @@ def template_labels(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     """(id, th, found: label -> best containment as pairs) of documents with a
     block that reaches the threshold. docs: (id, th, s), s as by padded()."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     held = docs.select(F.explode(F.array_intersect(F.split(F.btrim("s"), " "), F.array(*map(F.lit, vocabulary)))).alias("w"))
     freq = dict(held.groupBy("w").count().collect())  # a row for each word of the notices at most
     index, sets = [], []
-    for k, (label, t) in enumerate(templates):
+    for k, (label, t, must) in enumerate(templates):
         tokens = sorted(set(t.split()), key=lambda w: (freq.get(w, 0), w))
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        sets.append((k, label, len(t.split()), tokens, need))
+        sets.append((k, label, 2 * len(t.split()), tokens, need, [tokens.index(w) for w in must.split()], OTHERWISE.get(label, [])))
         index += [(w, k, place) for place, w in enumerate(tokens[: len(tokens) - need + 1])]
     prefix = sorted({w for w, _, _ in index})
-    kinds = spark.createDataFrame(sets, "k int, label string, m int, tokens array<string>, need int")
-    index = spark.createDataFrame(index, "p_w string, p_k int, place int")
+    kinds = spark.createDataFrame(sets, "t_k int, label string, wide int, tokens array<string>, need int, must array<int>, other array<string>")
+    index = spark.createDataFrame(index, "p_w string, k int, place int")
 
     words = F.split(F.btrim("s"), " ")
     some = docs.where(F.arrays_overlap(words, F.array(*map(F.lit, prefix)))).select("id", "th", words.alias("words"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"), F.lit(need).alias("need")) for k, _, m, _, need in sets])
-    blocks = some.select("id", "th", "words", F.inline(wanted))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.col("m"))
-    blocks = blocks.select("id", "th", "k", "need", F.explode(F.transform(starts, lambda i: F.array_distinct(F.slice("words", i + 1, 2 * F.col("m"))))).alias("block"))
-    blocks = blocks.where(F.size("block") >= F.col("need"))
-    keys = blocks.select("id", "th", "k", "need", "block", F.explode(F.array_intersect("block", F.array(*map(F.lit, prefix)))).alias("w"))
-    pairs = keys.join(F.broadcast(index), (F.col("w") == F.col("p_w")) & (F.col("k") == F.col("p_k")))
-    # a block comes up once for each prefix word it holds; the positional filter drops what can't reach the need
-    pairs = pairs.join(F.broadcast(kinds.select(F.col("k").alias("t_k"), "label", "tokens")), F.col("k") == F.col("t_k"))
-    pairs = pairs.where(F.size("tokens") - F.col("place") >= F.col("need"))
-    got = pairs.withColumn("got", F.size(F.array_intersect("block", "tokens"))).where("got >= need")
-    got = got.groupBy("id", "th", "label").agg(F.max(F.col("got") / F.size("tokens")).alias("score"))
+    keys = some.select("id", "th", "words", F.explode(F.array_intersect("words", F.array(*map(F.lit, prefix)))).alias("w"))
+    pairs = keys.join(F.broadcast(index), F.col("w") == F.col("p_w")).join(F.broadcast(kinds), F.col("k") == F.col("t_k"))
+    # the words around each place of the prefix word; c: where it is among them
+    spots = pairs.withColumn("p", F.explode(F.expr("filter(transform(words, (x, i) -> if(x = w, i, -1)), i -> i >= 0)")))
+    spots = spots.withColumn("c", F.least("p", F.col("wide") - 1))
+    spots = spots.select("id", "th", "label", "wide", "tokens", "need", "must", "other", "place", "c", F.expr("slice(words, p - c + 1, c + wide)").alias("around"))
+    # (i, g): place among them, and place of the word in the notice's order
+    seen = "filter(transform(around, (x, i) -> named_struct('i', i, 'g', cast(array_position(tokens, x) as int) - 1)), y -> y.g >= place)"
+    spots = spots.withColumn("seen", F.expr(seen)).where("size(array_distinct(transform(seen, y -> y.g))) >= need")
+    held = "array_distinct(transform(filter(seen, y -> y.i >= x.i and y.i < x.i + wide), y -> y.g))"
+    fits = "size(array_except(must, h)) = 0 and not exists(slice(around, x.i + 1, wide), o -> array_contains(other, o))"
+    best = f"array_max(transform(filter(seen, y -> y.i <= c), x -> transform(array({held}), h -> if(size(h) >= need and {fits}, size(h), 0))[0]))"
+    got = spots.select("id", "th", "label", "need", F.size("tokens").alias("of"), F.expr(best).alias("got")).where("got >= need")
+    got = got.groupBy("id", "th", "label").agg(F.max(F.col("got") / F.col("of")).alias("score"))
     return got.groupBy("id", "th").agg(F.collect_list("label").alias("m_labels"), F.max("score").alias("m_score"))
 
 
@@ -137,15 +177,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _sql() -> str:
     low = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = " union all ".join(f"select '{x}' as label, {p.split()!r} as p" for p, x in PHRASES.items())
-    notices = ", ".join(f"({k}, '{x}', {len(t.split())}, {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})" for k, (x, t) in enumerate(TEMPLATES))
+    notices = ", ".join(f"({k}, '{x}', {2 * len(t.split())}, {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)}, {m.split()!r}, {OTHERWISE.get(x, [])!r}::varchar[])" for k, (x, t, m) in enumerate(TEMPLATES))
     return f"""
 with d as (select doc_id, {low} as w from documents),
 ph as ({phrases}),
 spot as (select doc_id, label, i - 1 as i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), ph where w[i] = p[1] and w[i : i + len(p) - 1] = p),
 base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from spot group by doc_id),
-nt(k, label, m, tokens, need) as (values {notices}),
-bl as (select doc_id, label, tokens, need, list_distinct(w[i + 1 : i + 2 * m]) as b from (select doc_id, w, k, label, m, tokens, need, unnest(range(0, len(w), m)) as i from d, nt)),
-got as (select doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) as score from bl where len(list_intersect(b, tokens)) >= need group by doc_id, label),
+nt(k, label, wide, tokens, need, must, other) as (values {notices}),
+bl as (select doc_id, label, tokens, need, must, other, w[i : i + wide - 1] as b
+  from (select *, unnest(range(1, len(w) + 1)) as i from d, nt where len(list_intersect(w, tokens)) >= need) where list_contains(tokens, w[i])),
+got as (select doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) as score from bl
+  where len(list_intersect(b, tokens)) >= need and list_has_all(b, must) and not list_has_any(b, other) group by doc_id, label),
 lab as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from spot union select doc_id, label from got) group by doc_id),
 top as (select doc_id, max(score) as score from got group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,

@@ -82,6 +82,29 @@ def test_sharding(docs, none, rows):
     assert all(zlib.crc32(texts[r.doc_id].encode()) == r.text_crc32 and len(texts[r.doc_id].encode()) + 1 == r.size for r in got.dropna(subset=["doc_id"]).itertuples() if r.doc_id > 10)
     again = sharding.interleaved_shards(docs.repartition(7), 8).toPandas()
     key = ["shard", "slot"]
+    # the order from its definition: fractional ranks in each source, by seeded hash
+    import struct
+    from itertools import groupby
+
+    from xxhash import xxh64_intdigest
+
+    def seeded(*values) -> int:
+        h = xxh64_intdigest(struct.pack("<i", sharding.SEED), 42)
+        for v in values:
+            h = h if v is None else xxh64_intdigest(struct.pack("<q", v), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    first = lambda v: (v is not None, v)  # nulls come first
+    plain = [(s, d, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t, _, s, _ in rows]
+    hashed = sorted(((s, seeded(d, c, n), d, c, n) for s, d, c, n in plain), key=lambda r: (first(r[0]), r[1], first(r[2]), r[3:]))
+    ranked = []
+    for _, own in groupby(hashed, key=lambda r: r[0]):
+        own = list(own)
+        ranked += [((k + 0.5) / len(own), *r) for k, r in enumerate(own)]
+    ranked.sort(key=lambda r: (r[0], r[2], first(r[3]), first(r[1]), r[4:]))
+    cuts = [k * 8 // len(ranked) for k in range(len(ranked))]
+    want = [(c, k - cuts.index(c), *r[3:]) for k, (c, r) in enumerate(zip(cuts, ranked, strict=True))]
+    assert want == [(r["shard"], r["slot"], r["doc_id"], r["text_crc32"], r["size"]) for r in sharding.interleaved_shards(docs, 8).orderBy("shard", "slot").collect()]
     assert got.sort_values(key)["text_crc32"].tolist() == again.sort_values(key)["text_crc32"].tolist()
     assert sharding.interleaved_shards(none).count() == 0
 
@@ -341,6 +364,52 @@ def test_license_scan(docs, none, rows):
     assert license_scan.license_scan(none).count() == 0
 
 
+def brute_notices(text: str | None) -> tuple[set[str], float]:
+    """Labels of all blocks at all words, and the best containment."""
+    import math
+    import re
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, best = set(), 0.0
+    for label, notice, must in license_scan.TEMPLATES:
+        tokens, wide = set(notice.split()), 2 * len(notice.split())
+        for i in range(len(w)):
+            block = set(w[i : i + wide])
+            n = len(block & tokens)
+            # a block that starts between words of the notice holds no more than the next that starts at one
+            if w[i] in tokens and n >= math.ceil(0.8 * len(tokens) - 1e-9) and set(must.split()) <= block and not block & set(license_scan.OTHERWISE.get(label, [])):
+                labels.add(label)
+                best = max(best, n / len(tokens))
+    return labels, best
+
+
+def test_license_notices(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor the of and license software use copy".split()) for _ in range(n))
+    texts: list[str | None] = [None, ""]
+    for label, notice, _ in license_scan.TEMPLATES:
+        words = notice.split()
+        for inserted, dropped in ((0, 0), (len(words) // 2, 0), (len(words), len(words) // 8), (len(words) // 3, len(words) // 4)):
+            for lead in (0, 3, len(words) - 1):
+                own = words.copy()
+                for _ in range(dropped):
+                    own.pop(rng.randrange(len(own)))
+                for _ in range(inserted):
+                    own.insert(rng.randrange(len(own) + 1), rng.choice(["foo", "bar", "the"]))
+                texts.append(f"{filler(lead)} {' '.join(own)} {filler(5)}")
+    near = ["licensed under the GNU General Public License version 2", "licensed under CC BY 4.0", "licensed under CC BY-SA 4.0", "released under the apache license", "released under the BSD license", "licensed under the GNU Lesser General Public License version 3"]
+    texts += near
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
+    for k, t in enumerate(texts):
+        labels, best = brute_notices(t)
+        base = set(filter(None, got[k]["base_labels"].split(",")))
+        assert set(filter(None, got[k]["labels"].split(","))) == labels | base, t
+        assert got[k]["score"] == (1.0 if base else best), t
+    assert all(got[k]["labels"] == "" for k in range(len(texts) - len(near), len(texts)))
+    assert sum(bool(got[k]["labels"]) for k in got) > 60
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
