@@ -4,6 +4,15 @@ near-duplicates, best-fit packing.
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last keep the
 columns of ``documents``; the last gives the packed pieces.
+
+Defined cases, for every stage: a null or empty text, or one without a word or
+a letter, goes (it fails the quality rules; later stages treat it alike); a
+null doc_id is kept like any other, and sorts first among ties; rows that
+repeat a document (id and text) share its decisions, and one of them stays
+after the near-duplicate stage; of documents that tie, the smallest id stays
+(then the smallest text hash); an empty table gives an empty result; texts are
+read whole, however long; further columns pass through up to the last stage,
+whatever their names, and ``n_chars``, where there is one, follows the text.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ Only DataFrame functions are used. A hot window is reduced by partial
 aggregation and its occurrences are joined through a skew-splittable join.
 
 Defined cases: null text stays null with no lines; a text without words is
-returned as it is; repeated rows are one document and share its result; an
-empty table gives an empty result; other columns pass through the filter.
+returned as it is; a null id comes first in the order; repeated rows are one
+document and share its result; documents of one id are told apart, and ordered,
+by text hash; long texts are cut whole; an empty table gives an empty result;
+other columns, whatever their names, pass through the filter.
 """
 
 from __future__ import annotations

@@ -17,9 +17,10 @@ in one global order by length (a range shuffle of narrow rows, so a length that
 many pieces share is split), and a piece's place in that order gives its run,
 sequence and offset. Texts are never shuffled.
 
-Defined cases: null text is empty and has the end id alone; repeated rows each
-have pieces; an empty table gives an empty result; a long text gives as many
-pieces as it needs.
+Defined cases: null text is empty and has the end id alone; a null id is kept;
+repeated rows each have pieces; pieces of equal length, the ties of the order,
+go by id, text hash and place; an empty table gives an empty result; a long
+text gives as many pieces as it needs; other columns are not read.
 """
 
 from __future__ import annotations

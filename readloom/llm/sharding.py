@@ -11,7 +11,10 @@ over many tasks. The order depends on the rows and the seed alone.
 
 Defined cases: a null source is a source of its own; null text has size 1 and
 the checksum of no bytes (0); repeated rows each get a slot (which of equal
-rows comes first makes no difference); an empty table gives an empty result.
+rows comes first makes no difference); a null id is an id like any other; equal
+fractions, the ties of the order, go by hash, id and digests; long texts are
+read whole but only their digests are moved; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

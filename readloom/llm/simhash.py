@@ -19,7 +19,10 @@ which of its members hang together, at most one row a member, never its pairs.
 Defined cases: null or empty text, or one of white space alone, has
 fingerprint 0 and links like any other; repeated rows share a result; a null id
 is left out of the smallest id of a group unless the group has no other (then
-null); an empty table gives an empty result.
+null); a bit that exactly half of the hashes set is 0; long texts are hashed
+whole, their bits counted in slices; an empty table gives an empty result;
+other columns, whatever their names, pass through drop_near_duplicates and are
+not read.
 """
 
 from __future__ import annotations

@@ -20,8 +20,10 @@ manifest; a repeated or lost attempt leaves no wrong data. The driver keeps one
 manifest row for each file.
 
 Defined cases: null text is empty and has the end id alone; a null id sorts
-first; repeated rows each have a record; an empty table gives no files and an
-empty result; a damaged file raises ValueError.
+first; repeated rows each have a record; documents of one id are in order of
+their text hash; long texts are one record each; an empty table gives no files
+and an empty result; a damaged file raises ValueError; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

@@ -57,3 +57,35 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in simhash.near_duplicates(c).where("doc_id = component_id").collect()}
     whole = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in d.collect()}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, no rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = "the and of that with this from have they were been their which would about".split()
+    prose = lambda n: "\n".join(" ".join(rng.choice(words) + rng.choice(["", "s", "ed"]) + str(rng.randrange(40)) * (rng.random() < 0.3) for _ in range(12)) for _ in range(n))
+    rows = [(k, prose(8), "en", f"s{k % 3}", 5) for k in range(60)]
+    rows += [rows[3], rows[3], (70, rows[3][1], "en", "s0", 5), (71, None, "en", None, None), (72, "", None, "s1", 0), (73, " \n ", "en", "s1", 3), (None, prose(8), "en", "s1", 1), (None, None, None, None, None)]
+    rows += [(80, prose(4000), "en", "s2", 1), (81, "x" * 30_000, "en", "s2", 1), (82, "1 2 3 " * 40, "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ["id", "th", "row", "rl_id", "t_th", "p", "k", "n", "host", "removed", "root", "t_stats"]
+    docs = docs.select("*", *[F.lit(f"extra {c}").alias(c) for c in clash])
+    for name, frame, some in (("all", docs, True), ("none", docs.where("doc_id < -1"), False)):
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            done = f(spark, frame, "")
+            assert k == len(corpus_pipeline.STAGES) - 1 or done.columns == docs.columns
+            done.write.parquet(str(tmp_path / name / stage))
+            frame = spark.read.parquet(str(tmp_path / name / stage))
+            if stage == "simhash_near_dedup" and some:
+                left = {r["doc_id"]: r for r in frame.collect()}
+                assert not {71, 72, 73, 81, 82} & set(left)
+                assert 80 in left and None in left
+                # the copy's lines went in the line stage; the document's repeated rows are one
+                assert 3 in left and 70 not in left
+                assert frame.where("doc_id = 3").count() == 1
+                assert all(r["n_chars"] == len(r["text"]) and r["id"] == "extra id" for r in left.values())
+        assert (frame.count() > 0) == some
