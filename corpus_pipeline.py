@@ -29,6 +29,10 @@ from readloom.llm.common import fresh, shared_dir, table
 
 #: Share of a text's n-grams that its language must hold.
 MIN_LANG_SCORE = 0.2
+#: Words of a shingle, differing bits and similarity of near-duplicates.
+NEAR_WORDS = 5
+NEAR_BITS = 6
+NEAR_SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: fingerprints of five-word
+    shingles within NEAR_BITS, verified by the similarity of the shingles."""
+    return simhash.drop_near_duplicates(docs, radius=NEAR_BITS, shingle=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ by XXH64 with seed 42, and a fingerprint bit is set where over half of the
 hashes set it. Fingerprints with at most ``radius`` differing bits are linked,
 and links are closed to components.
 
-Only distinct fingerprints are compared. Fingerprints within the radius agree
-on at least one of radius + 1 bit bands, so each is sent once per band to the
-bucket of its band value. In a bucket, 64 fingerprints form a block that is
+Only distinct fingerprints are compared. Cut into radius + p bands, two within
+the radius agree on p bands at least, so each is sent, for every choice of p
+bands, to the bucket of their bits; p is the least that keeps buckets small (it
+grows with the logarithm of the number of fingerprints, so that comparisons do
+not grow with its square). In a bucket, 64 fingerprints form a block that is
 stored as bit planes: plane i holds bit i of all 64. A query is compared with a
 whole block by XORing plane after plane and adding the mismatches to 64
 vertical counters with carry-save logic; a block is abandoned once all its
@@ -16,6 +18,11 @@ counters exceed the radius. A bucket of more than ``chunk`` fingerprints is cut
 by a hash into chunks, whose pairs are tasks of their own. A bucket reports
 which of its members hang together, at most one row a member, never its pairs.
 
+drop_near_duplicates can verify: of each group one row for each fingerprint is
+compared with the one that stays, by the Jaccard similarity of their sets of
+shingles, and goes only where it is ``similarity`` or more; a fingerprint keeps
+one row in any case.
+
 Defined cases: null or empty text, or one of white space alone, has
 fingerprint 0 and links like any other; repeated rows share a result; a null id
 is left out of the smallest id of a group unless the group has no other (then
@@ -27,20 +34,23 @@ not read.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import checkpoint, components, digest_of, fresh, sized, whole_groups
+from .common import checkpoint, components, digest_of, fresh, let, sized, whole_groups, words_of
 
 SHINGLE = 3
 RADIUS = 3
 CHUNK = 2048
+#: Fingerprints of a bucket, on average, from which on one more band is taken.
+BUCKET = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -64,8 +74,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return of(text)
+
+
+def shingle_set(text: Column, shingle: int = SHINGLE) -> Column:
+    """Hashes of the distinct shingles of a text, those that fingerprint() takes."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    some = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, shingle), " ")))
+    return let(words_of(low), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(some(w))))
 
 
 def planes_of(prints: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -179,14 +200,28 @@ def _stars(radius: int):
     return run
 
 
+def keys_of(fp: Column, radius: int, n: int) -> Column:
+    """Array of (band, value): the buckets of a fingerprint among n."""
+    p = 1
+    while p < 4 and n >> 64 * p // (radius + p) > BUCKET:
+        p += 1
+    edges = [64 * k // (radius + p) for k in range(radius + p + 1)]
+    out = []
+    for band, chosen in enumerate(combinations(range(radius + p), p)):
+        value, width = F.lit(0).cast("long"), 0
+        for k in chosen:
+            size = edges[k + 1] - edges[k]
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << size) - 1)), width))
+            width += size
+        out.append(F.struct(F.lit(band).alias("band"), value.alias("value")))
+    return F.array(*out)
+
+
 def near_fingerprints(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` of prints
     exactly as all pairs within the radius would."""
     ship(prints.sparkSession)
-    bands = radius + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = prints.select("fp", F.inline(band))
+    keyed = prints.select("fp", F.inline(keys_of(F.col("fp"), radius, prints.count())))
     big = keyed.groupBy("band", "value").count().where(F.col("count") > chunk)
     big = checkpoint(big.select(F.col("band").alias("g_band"), F.col("value").alias("g_value"), F.ceil(F.col("count") / (0.75 * chunk)).cast("int").alias("cuts")))
     keyed = keyed.join(sized(big, 32), (F.col("band") == F.col("g_band")) & (F.col("value") == F.col("g_value")), "left")
@@ -198,11 +233,11 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUN
     return keyed.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInPandas(_stars(radius), "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK, shingle: int = SHINGLE) -> DataFrame:
     """(id, th, fp, root, component_id) for every row; root: a fingerprint
     that stands for the group."""
     ship(docs.sparkSession)
-    rows = checkpoint(docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp")))
+    rows = checkpoint(docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("th"), fingerprints(F.col(text_col), shingle).alias("fp")))
     prints = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("low")))
     links = near_fingerprints(prints.select("fp"), radius, chunk)
     root = components(links)
@@ -218,12 +253,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def _kept(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float | None) -> DataFrame:
+    """(rl_id, rl_th, n): the rows that stay, by id and text hash, and how often
+    each is there. found: as by grouped()."""
+    same = found["id"].eqNullSafe(found["component_id"])
+    if similarity is None:
+        return found.where(same).groupBy("root").agg(F.min(F.struct("id", "th")).alias("k"), F.count("*").alias("n")).select(F.col("k.id").alias("rl_id"), F.col("k.th").alias("rl_th"), "n")
+    # null ids come last here, as min(id) passes over them
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    leads = found.groupBy("root", "fp").agg(F.min(order).alias("k"), F.count("*").alias("n"))
+    leads = checkpoint(leads.select("root", "fp", "k", "n"))
+    tops = leads.groupBy("root").agg(F.min("k").alias("top"), F.count("*").alias("prints")).where("prints > 1")
+    both = checkpoint(leads.join(sized(checkpoint(tops), 96), "root").select("root", "fp", "k", (F.col("k") == F.col("top")).alias("stays")))
+    own = both.select(F.col("k.id").alias("v_id"), F.col("k.th").alias("v_th"), "root", "fp", "stays")
+    texts = docs.select(F.col(id_col).alias("t_id"), digest_of(F.col(text_col)).alias("t_th"), F.col(text_col).alias("text"))
+    texts = texts.join(sized(own, 64), F.col("t_id").eqNullSafe(F.col("v_id")) & (F.col("t_th") == F.col("v_th")))
+    sets = checkpoint(texts.select("root", "fp", "stays", shingle_set(F.col("text"), shingle).alias("s")).dropDuplicates(["root", "fp"]))
+    first = sets.where("stays").select("root", F.col("s").alias("first"))
+    alike = sets.where("not stays").join(sized(first), "root")
+    union = F.size(F.array_union("s", "first"))
+    alike = alike.where((union == 0) | (F.size(F.array_intersect("s", "first")) >= similarity * union))
+    gone = checkpoint(alike.select(F.col("fp").alias("g_fp")))
+    stay = leads.join(sized(gone, 16), F.col("fp") == F.col("g_fp"), "left_anti")
+    return stay.select(F.col("k.id").alias("rl_id"), F.col("k.th").alias("rl_th"), "n")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs with one row of each group: that of the smallest id (of rows that
-    repeat it, the one of the smallest text hash). Same columns."""
-    found = grouped(docs, id_col, text_col, radius, chunk)
-    lead = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    keep = checkpoint(lead.groupBy("root").agg(F.min(F.struct("id", "th")).alias("k"), F.count("*").alias("n")).select(F.col("k.id").alias("rl_id"), F.col("k.th").alias("rl_th"), "n"))
+    repeat it, the one of the smallest text hash); with a similarity, also one
+    row of each fingerprint whose shingles are less alike to that row's. Same
+    columns."""
+    found = grouped(docs, id_col, text_col, radius, chunk, shingle)
+    keep = checkpoint(_kept(found, docs, id_col, text_col, shingle, similarity))
     box = fresh(docs, "row")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(box), digest_of(docs[text_col]).alias("t_th"))
     whole = whole.join(sized(keep, 48), F.col(box)[id_col].eqNullSafe(F.col("rl_id")) & (F.col("t_th") == F.col("rl_th")))

@@ -28,6 +28,59 @@ def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
 
 
+def brute_near(texts: dict[int, str]) -> set[int]:
+    """Ids that stay: groups of fingerprints by all pairs; of each group the
+    least id, and the least of each fingerprint that is less than 0.8 like it."""
+    radius, shingle = corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_WORDS
+    prints = {k: simhash.fingerprint(t, shingle) for k, t in texts.items()}
+    lead: dict[int, int] = {}
+    for k in sorted(texts):
+        lead.setdefault(prints[k], k)
+    up = {p: p for p in lead}
+
+    def find(p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    every = list(lead)
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if (a ^ b).bit_count() <= radius:
+                up[find(a)] = find(b)
+    top: dict[int, int] = {}
+    for p, k in lead.items():
+        top[find(p)] = min(top.get(find(p), k), k)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+    alike = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    return {k for p, k in lead.items() if k == top[find(p)] or not alike(texts[k], texts[top[find(p)]])}
+
+
+def test_near_duplicates_verified(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = {}
+    for g in range(40):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 120, 400]))]
+        for k in range(6):
+            own = w.copy()
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 12])):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(4000)}"
+            texts[100 * g + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for bucket in (simhash.BUCKET, 0):  # with more bands as well
+        old, simhash.BUCKET = simhash.BUCKET, bucket
+        got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+        simhash.BUCKET = old
+        assert got == brute_near(texts)
+    assert 40 <= len(got) < 200
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's decisions, from the operators' own rows. Stages are written
     and read again in between, as in a run."""
@@ -54,7 +107,7 @@ def test_pipeline(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in c.collect())
     d = stored(corpus_pipeline.near_duplicates(spark, c, SF), "d")
     assert d.columns == columns
-    assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in simhash.near_duplicates(c).where("doc_id = component_id").collect()}
+    assert {r["doc_id"] for r in d.collect()} == brute_near({r["doc_id"]: r["text"] for r in c.collect()})
     whole = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in d.collect()}
 
