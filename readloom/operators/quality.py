@@ -69,13 +69,17 @@ def position_bits(reads: DataFrame) -> DataFrame:
 
 def runs(reads: DataFrame) -> DataFrame:
     """(block_id, run, symbol, length): runs of equal values over a whole
-    block, across reads, of at most 255 values (length: values - 1). A block is
-    bounded, so its window is."""
-    own = Window.partitionBy("block_id").orderBy("read_id", "pos")
-    rows = positions(reads).select("block_id", "read_id", "pos", "cq")
-    rows = rows.withColumn("new", F.expr("cast(cq is distinct from lag(cq) over (partition by block_id order by read_id, pos) as int)"))
-    rows = rows.withColumn("island", F.sum("new").over(own))
-    isles = rows.groupBy("block_id", "island").agg(F.first("cq").alias("symbol"), F.count("*").alias("len"))
+    block, across reads, of at most 255 values (length: values - 1). Runs are
+    found within each read first; only those are ordered over a block, which is
+    bounded, and joined where one read's last goes on in the next."""
+    # lambda variables, so that neither array is computed once for each use
+    ends = "filter(sequence(0, size(c) - 1), i -> i = size(c) - 1 or c[i] <> c[i + 1])"
+    each = "transform(e, (i, k) -> named_struct('symbol', c[i], 'len', cast(i - if(k = 0, -1, e[k - 1]) as bigint)))"
+    own = couple(reads).where("length(qual) > 0").selectExpr("block_id", "read_id", f"posexplode(transform(array(coded), c -> transform(array({ends}), e -> {each})[0])[0]) as (pos, x)")
+    own = own.selectExpr("block_id", "read_id", "pos", "x.symbol as symbol", "x.len as len")
+    order = "over (partition by block_id order by read_id, pos)"
+    rows = own.withColumn("new", F.expr(f"cast(symbol is distinct from lag(symbol) {order} as int)")).withColumn("island", F.expr(f"sum(new) {order}"))
+    isles = rows.groupBy("block_id", "island").agg(F.first("symbol").alias("symbol"), F.sum("len").alias("len"))
     part = f"explode(sequence(0, cast((len - 1) div {MAX_RUN} as int)))"
     cut = isles.selectExpr("block_id", "island", "symbol", "len", f"{part} as part")
     order = Window.partitionBy("block_id").orderBy("island", "part")
@@ -93,8 +97,12 @@ def run_roundtrip(reads: DataFrame) -> DataFrame:
 def run_contexts(reads: DataFrame) -> DataFrame:
     """(block_id, kind, context, value, n): run symbols by the symbol before
     (the block's smallest for the first) and run lengths by their own symbol."""
+    return _contexts(runs(reads))
+
+
+def _contexts(runs: DataFrame) -> DataFrame:
     prev = "coalesce(lag(symbol) over (partition by block_id order by run), min(symbol) over (partition by block_id))"
-    rows = runs(reads).selectExpr("block_id", "symbol", "length", f"{prev} as before")
+    rows = runs.selectExpr("block_id", "symbol", "length", f"{prev} as before")
     pair = rows.selectExpr("block_id", "inline(array(named_struct('kind', 'symbol', 'context', before, 'value', cast(symbol as bigint)), named_struct('kind', 'length', 'context', symbol, 'value', length)))")
     return pair.groupBy("block_id", "kind", "context", "value").agg(F.count("*").alias("n"))
 
@@ -110,8 +118,9 @@ def section_bytes(reads: DataFrame) -> DataFrame:
     bits = histogram_bits(cells.groupBy("block_id", "pos", "cq").agg(F.count("*").alias("n")), ["block_id", "pos"], "cq", "n")
     plain = bits.join(alphabet, "block_id").groupBy("block_id").agg(F.sum(F.expr(X.tree_bytes("symbols", "dense"))).alias("trees"), F.sum("bits").alias("bits"), F.count("*").alias("filled"))
     head = cut.groupBy("block_id").agg(F.count("*").alias("records"), F.sum(F.expr(f"if(keep < size(coded), if(min_length <> max_length, {X.bit_width('size(coded)')}, {X.bit_width('max_length')}), 0)")).alias("cut_bits"))
-    ctx = run_contexts(reads)
-    lens = runs(reads).groupBy("block_id").agg(F.count("*").alias("runs"), F.count_distinct("symbol").alias("qd"), F.count_distinct("length").alias("ld"))
+    every = runs(reads)
+    ctx = _contexts(every)
+    lens = every.groupBy("block_id").agg(F.count("*").alias("runs"), F.count_distinct("symbol").alias("qd"), F.count_distinct("length").alias("ld"))
     cost = histogram_bits(ctx, ["block_id", "kind", "context"], "value", "n").join(lens, "block_id")
     tree = F.expr(f"if(kind = 'symbol', {X.tree_bytes('symbols', 'qd')}, {X.tree_bytes('symbols', 'ld')})")
     rle = cost.groupBy("block_id").agg(F.sum(tree).alias("r_trees"), F.sum("bits").alias("r_bits"), F.count_if(F.col("kind") == "symbol").alias("with_next"))

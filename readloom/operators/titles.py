@@ -58,25 +58,34 @@ def profile(reads: DataFrame) -> DataFrame:
     return per.select("block_id", "field", "n", "distinct_values", "len_min", "len_max", "first_value", (F.col("distinct_values") == 1).alias("constant"), "numeric", *map(only, ("v_min", "v_max", "d_min", "d_max")))
 
 
-def _run_counts(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Transitions between equal neighbours, a run splitting after 256 repeats."""
-    order = "over (partition by block_id, field order by read_id)"
-    isles = rows.withColumn("new", F.expr(f"cast({value} is distinct from lag({value}) {order} as int)")).withColumn("isle", F.expr(f"sum(new) {order}"))
-    isles = isles.groupBy("block_id", "field", "isle").agg(F.count("*").alias("len"))
-    last = "max_by(len, isle)"
-    runs = f"count(*) - 1 + sum((len - 1) div 256) + if(({last} - 1) % 256 > 0, 1, 0)"
-    return isles.groupBy("block_id", "field").agg(F.expr(runs).cast("long").alias(name))
+def _run_count(name: str, where: str) -> str:
+    """Transitions between equal neighbours, a run splitting after 256 repeats.
+    Of islands of equal values (place k of len), each adds 1 and one for every
+    256 repeats, which come at places 257, 513 and so on; the last adds one only
+    if what is left of it repeats."""
+    last = f"(max_by({name}_place, rn) filter (where {where}) - 1) % 256 > 0"
+    return f"count_if({where} and ({name}_place - 1) % 256 = 0) - 1 + if({last}, 1, 0)"
 
 
 def schemes(reads: DataFrame) -> DataFrame:
-    """(block_id, field, scheme, huffman): how each field is stored."""
+    """(block_id, field, scheme, huffman): how each field is stored. One pass
+    sorts the fields' values; all figures come from it."""
+    order = "over (partition by block_id, field order by read_id)"
     rows = _numbers(reads)
-    prof = profile(reads)
-    v = _run_counts(rows, "number", "value_runs")
-    d = _run_counts(rows.where("rn > 1"), "delta", "delta_runs")
-    wide = rows.groupBy("block_id", "field").agg(F.count_distinct("number").alias("v_keys"), F.count_distinct("delta").alias("d_keys"))
-    x = prof.join(v, ["block_id", "field"]).join(d, ["block_id", "field"], "left").join(wide, ["block_id", "field"])
-    x = x.withColumns({"vr": F.col("v_max") - F.col("v_min"), "dr": F.coalesce(F.col("d_max") - F.col("d_min"), F.lit((1 << 31) * -1)), "delta_runs": F.coalesce("delta_runs", F.lit(0))})
+    rows = rows.selectExpr("*", f"cast(number is distinct from lag(number) {order} as int) as v_new", f"cast(delta is distinct from lag(delta) {order} or rn = 2 as int) as d_new")
+    rows = rows.selectExpr("*", f"last_value(if(v_new = 1, rn, null), true) {order} as v_first", f"last_value(if(d_new = 1, rn, null), true) {order} as d_first")
+    rows = rows.selectExpr("*", "rn - v_first + 1 as v_place", "rn - d_first + 1 as d_place")
+    x = rows.groupBy("block_id", "field").agg(
+        F.count("*").alias("n"),
+        (F.min("value") == F.max("value")).alias("constant"),
+        F.bool_and(F.col("number").isNotNull()).alias("numeric"),
+        F.expr("max(number) - min(number)").alias("vr"),
+        F.expr(f"coalesce(max(delta) - min(delta), {-(1 << 31)})").alias("dr"),
+        F.expr(_run_count("v", "true")).alias("value_runs"),
+        F.expr(f"if(count(*) > 1, {_run_count('d', 'rn > 1')}, 0)").alias("delta_runs"),
+        F.count_distinct("number").alias("v_keys"),
+        F.count_distinct("delta").alias("d_keys"),
+    )
     ratio = NUMERIC_RLE_RATIO
     ladder = f"""case when constant then 'CONST' when not numeric then 'TEXT'
       when vr >= dr and dr = 0 then 'DELTA_CONST'
