@@ -1,4 +1,6 @@
-"""python -m readloom pack ARCHIVE FASTQ [WORKERS] | unpack ARCHIVE FASTQ [WORKERS] | generate FASTQ N LENGTH"""
+"""python -m readloom pack ARCHIVE FASTQ [WORKERS] | unpack ARCHIVE FASTQ [WORKERS] | generate FASTQ N LENGTH
+
+A path that ends in / is a folder of archives or FASTQ files."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ def main(args: list[str]) -> int:
 
     workers = int(args[3]) if args[0] != "generate" and len(args) == 4 else os.cpu_count()
     spark = SparkSession.builder.master(os.environ.get("MASTER", f"local[{workers}]")).config("spark.ui.enabled", "false").getOrCreate()
-    path = lambda p: p if ":" in p else os.path.abspath(p)
+    path = lambda p: p if ":" in p else os.path.abspath(p) + "/" * p.endswith("/")
     try:
         if args[0] == "generate":
             api.generate(spark, path(args[1]), int(args[2]), int(args[3]))

@@ -16,26 +16,36 @@ def pack(spark: SparkSession, archive_path: str, fastq_path: str, chunk_bytes: i
     the input must come back, but for a missing last line end: the scan compares
     the records it found with the bytes they came from, and each block is
     decoded again and compared with them. Blocks are partitions of the scan, so
-    nothing is shuffled. A failure leaves no archive."""
+    nothing is shuffled. A failure leaves no archive.
+
+    An archive path that ends in / is a folder of archives: tasks then find the
+    ranges' boundaries themselves and write whole archives, so neither planning
+    nor commit reads or copies data on the driver."""
     began = time.time()
     if not sum(map(files.size, files.listed(fastq_path))):
         raise ValueError(f"{fastq_path}: no records")
-    reads = fastq.read_fastq(spark, fastq_path, chunk_bytes, "exact")
-    archive.write_archive(archive.encoded(reads, verify), archive_path)
+    if archive_path.endswith("/"):
+        reads = fastq.read_fastq(spark, fastq_path, chunk_bytes, "exact", "ranges")
+        archive.write_archive_parts(archive.encoded(reads, verify), archive_path)
+    else:
+        reads = fastq.read_fastq(spark, fastq_path, chunk_bytes, "exact")
+        archive.write_archive(archive.encoded(reads, verify), archive_path)
     return report(spark, archive_path, fastq_path) | {"seconds": round(time.time() - began, 3)}
 
 
 def report(spark: SparkSession, archive_path: str, fastq_path: str) -> dict:
     heads = archive.read_archive(spark, archive_path, "head").agg(F.count("*").alias("blocks"), F.sum("records").alias("records")).first()
-    a, b = files.size(archive_path), sum(map(files.size, files.listed(fastq_path)))
+    a, b = sum(map(files.size, files.listed(archive_path))), sum(map(files.size, files.listed(fastq_path)))
     return {"blocks": heads["blocks"], "records": heads["records"], "archive_bytes": a, "fastq_bytes": b, "ratio": round(b / a, 3)}
 
 
 def unpack(spark: SparkSession, archive_path: str, fastq_path: str) -> dict:
-    """Decode an archive into a FASTQ file."""
+    """Decode an archive, or a folder of archives, into a FASTQ file; into a
+    folder of files where fastq_path ends in /."""
     began = time.time()
-    index = archive.read_index(archive_path)
-    fastq.write_fastq(archive.read_archive(spark, archive_path), fastq_path, index.plus_repetition)
+    index = archive.read_index(files.listed(archive_path)[0])
+    write = fastq.write_fastq_parts if fastq_path.endswith("/") else fastq.write_fastq
+    write(archive.read_archive(spark, archive_path), fastq_path, index.plus_repetition)
     return report(spark, archive_path, fastq_path) | {"seconds": round(time.time() - began, 3)}
 
 

@@ -1,4 +1,5 @@
-"""The block archive as a data source: one partition for each block.
+"""The block archive as a data source: one partition for each block, or, of a
+folder of archives with a manifest, one for each archive in it.
 
     head    AA, version 2 0 2, footer size u32, footer offset u64, records u64
             (0), blocks u64, 8 x AA                         (40 bytes)
@@ -14,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +32,8 @@ HEAD = struct.Struct(">B3BIQQQ8s")
 VERSION = (2, 0, 2)
 HEAD_MARK, FOOTER_MARK = 0xAA, 0xCC
 SETTINGS = struct.Struct(">BBBBBQ")
+#: Bytes of blocks in an archive of a folder.
+PART_BYTES = 64 << 20
 PLUS_REPETITION, COLOR_SPACE, LOSSY, CHECKSUM = 1, 2, 1, 2
 
 
@@ -78,25 +82,50 @@ class Block(InputPartition):
     quality_offset: int
 
 
+@dataclass
+class Member(InputPartition):
+    """An archive of a folder; its blocks are numbered on from first."""
+
+    path: str
+    first: int
+
+
 class ArchiveReader(BlockPushdown, DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
         self.titles_only = options.get("columns", "all") == "title"
         self.heads_only = options.get("columns", "all") == "head"
 
     def partitions(self) -> list[InputPartition]:
+        if (known := files.manifest(self.path)) is not None:
+            return list(self.members(known)) or [Block(-1, 0, 0, 0)]
         x = read_index(self.path)
         ids = kept_blocks(self.block_filters, list(range(len(x.sizes))))
         return [Block(i, x.offsets[i], x.sizes[i], x.quality_offset) for i in ids] or [Block(-1, 0, 0, 0)]
 
-    def read(self, part: Block) -> Iterator[pa.RecordBatch]:
-        if part.block_id < 0:
-            return
+    def members(self, known: list[list]) -> Iterator[Member]:
+        """Archives with a block that the filters keep; their own index is read
+        by the tasks."""
+        first = 0
+        for path, blocks in known:
+            if not self.block_filters or kept_blocks(self.block_filters, list(range(first, first + blocks))):
+                yield Member(path, first)
+            first += blocks
+
+    def read(self, part: Block | Member) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, Member):
+            x = read_index(part.path)
+            for i in kept_blocks(self.block_filters, list(range(part.first, part.first + len(x.sizes)))):
+                yield from self.read_block(part.path, Block(i, x.offsets[i - part.first], x.sizes[i - part.first], x.quality_offset))
+        elif part.block_id >= 0:
+            yield from self.read_block(self.path, part)
+
+    def read_block(self, path: str, part: Block) -> Iterator[pa.RecordBatch]:
         if self.heads_only:  # counting records without decoding
-            h = block_head(files.read(self.path, part.offset, min(20, part.size)))
+            h = block_head(files.read(path, part.offset, min(20, part.size)))
             yield pa.RecordBatch.from_pydict({"block_id": [part.block_id], "offset": [part.offset], "size": [part.size], **{k: [h[k]] for k in ("records", "min_q", "max_q", "chunk_size")}})
             return
-        titles, seqs, quals = decode_block(files.read(self.path, part.offset, part.size), part.quality_offset, self.titles_only)
+        titles, seqs, quals = decode_block(files.read(path, part.offset, part.size), part.quality_offset, self.titles_only)
         n = len(titles)
         ids = range(part.block_id << PLACE_BITS, (part.block_id << PLACE_BITS) + n)
         cols = {"read_id": pa.array(ids, pa.int64()), "block_id": pa.array([part.block_id] * n, pa.int64()), "title": titles}
@@ -111,22 +140,34 @@ class Written(WriterCommitMessage):
     blocks: list[tuple[int, int, int]]  # block_id, offset in the part, size
 
 
+def head_and_footer(sizes: list[int], offset: int) -> tuple[bytes, bytes]:
+    """What stands around blocks of these sizes."""
+    footer = bytes([FOOTER_MARK]) + struct.pack(f"<{len(sizes)}I", *sizes) + SETTINGS.pack(0, offset, 0, 0, 0, 0)
+    return HEAD.pack(HEAD_MARK, *VERSION, len(footer), HEAD.size + sum(sizes), 0, len(sizes), bytes([HEAD_MARK]) * 8), footer
+
+
+def block_of(row) -> bytes:
+    data = bytes(row["block"])
+    if not data:
+        raise ValueError("an empty block")
+    return data
+
+
 class ArchiveWriter(DataSourceWriter):
     """Tasks write parts of (block_id, block) rows; the commit puts the blocks
     in order and adds head and footer."""
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
+        self.mark = files.begin(self.path, False)
         self.offset = int(options.get("qualityoffset", QUALITY_OFFSET))
 
     def write(self, rows) -> Written:
-        out = Written(files.part_name(self.path), [])
+        out = Written(files.part_name(self.path, self.mark), [])
         with files.part(out.path) as f:
             at = 0
             for r in rows:
-                data = bytes(r["block"])
-                if not data:
-                    raise ValueError("an empty block")
+                data = block_of(r)
                 f.write(data)
                 out.blocks.append((r["block_id"], at, len(data)))
                 at += len(data)
@@ -138,23 +179,79 @@ class ArchiveWriter(DataSourceWriter):
         if not blocks:
             self.abort(messages)
             raise ValueError("an archive needs a block")
-        sizes = [n for *_, n in blocks]
-        footer = bytes([FOOTER_MARK]) + struct.pack(f"<{len(sizes)}I", *sizes) + SETTINGS.pack(0, self.offset, 0, 0, 0, 0)
-        head = HEAD.pack(HEAD_MARK, *VERSION, len(footer), HEAD.size + sum(sizes), 0, len(sizes), bytes([HEAD_MARK]) * 8)
-        fs, name = files.at(self.path)
-        with fs.open_output_stream(name) as out:
+        head, footer = head_and_footer([n for *_, n in blocks], self.offset)
+        with files.part(self.path) as out:
             out.write(head)
-            for _, part, at, n in blocks:
-                out.write(files.read(part, at, n))
+            for path, run in groupby(blocks, key=lambda b: b[1]):  # a stream for each run of blocks of a part
+                with files.opened(path) as f:
+                    for _, _, at, n in run:
+                        out.write(f.read_at(n, at))
             out.write(footer)
-        files.remove(m.path for m in done)
+        files.clear(self.path, self.mark, False)
+
+    def abort(self, messages) -> None:
+        files.clear(self.path, self.mark, False)
+
+
+@dataclass
+class WrittenParts(WriterCommitMessage):
+    archives: list[tuple[str, int, int, int]]  # path, blocks, first and last block_id
+
+
+class FolderWriter(DataSourceWriter):
+    """Tasks write whole archives, a new one after PART_BYTES of blocks, which
+    is what a task holds in memory; the commit writes the manifest alone."""
+
+    def __init__(self, options):
+        self.path = options["path"].rstrip("/")
+        self.mark = files.begin(self.path, True)
+        self.offset = int(options.get("qualityoffset", QUALITY_OFFSET))
+        self.limit = int(options.get("partbytes", PART_BYTES))
+
+    def write(self, rows) -> WrittenParts:
+        from pyspark import TaskContext
+
+        at, out, ids, held = TaskContext.get().partitionId(), WrittenParts([]), [], []
+
+        def flush() -> None:
+            name = files.folder_part(self.path, self.mark, at, ".arc")
+            head, footer = head_and_footer([len(b) for b in held], self.offset)
+            with files.part(name) as f:
+                for b in (head, *held, footer):
+                    f.write(b)
+            out.archives.append((name, len(ids), ids[0], ids[-1]))
+            ids.clear()
+            held.clear()
+
+        size, last = 0, None
+        for r in rows:
+            if last is not None and last >= r["block_id"]:
+                raise ValueError("blocks of a folder come in the order of block_id")
+            last = r["block_id"]
+            ids.append(last)
+            held.append(block_of(r))
+            size += len(held[-1])
+            if size >= self.limit:
+                flush()
+                size = 0
+        if held:
+            flush()
+        return out
+
+    def commit(self, messages) -> None:
+        parts = sorted((a for m in messages if m for a in m.archives), key=lambda a: a[2])
+        if not parts or any(a[3] >= b[2] for a, b in pairwise(parts)):
+            self.abort(messages)
+            raise ValueError("blocks of a folder come in ranges of block_id" if parts else "an archive needs a block")
+        files.write_manifest(self.path, [[name.rpartition("/")[2], blocks] for name, blocks, *_ in parts])
 
     def abort(self, messages) -> None:
-        files.remove(m.path for m in messages if m)
+        files.clear(self.path, self.mark, True)
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("readarchive")``; option columns = all, title or head."""
+    """``spark.read.format("readarchive")``; option columns = all, title or head;
+    for writing, parts (a folder of archives) and partBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -169,7 +266,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return ArchiveWriter(self.options)
+        return (FolderWriter if self.options.get("parts", "false").lower() == "true" else ArchiveWriter)(self.options)
 
 
 def encoded(reads: DataFrame, verify: bool = True) -> DataFrame:
@@ -216,6 +313,16 @@ def write_archive(blocks: DataFrame, path: str) -> None:
     blocks.select("block_id", "block").write.format("readarchive").mode("append").save(path)
 
 
+def write_archive_parts(blocks: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+    """Write (block_id, block) rows whose partitions are ranges of block_id in
+    order, as the sources give them, as a folder of archives: no shuffle, and
+    the driver gets a row for each archive."""
+    from . import register
+
+    register(blocks.sparkSession)
+    blocks.select("block_id", "block").write.format("readarchive").option("parts", True).option("partBytes", part_bytes).mode("append").save(path)
+
+
 def read_archive(spark: SparkSession, path: str, columns: str = "all") -> DataFrame:
     from . import register
 

@@ -1,8 +1,12 @@
 """FASTQ as a data source: record-aligned chunks, one partition for each.
 
-The driver walks the file by its boundaries, reading a small tail for each
-chunk, and hands out byte ranges; executors read and parse them. A chunk is a
-block of the archive. Both line ends, and a last line without one, are read.
+A chunk is a block of the archive. With ``planning`` ``walk`` the driver walks
+the file by its boundaries, reading a small tail for each chunk, and hands out
+byte ranges; the blocks are those that the archive format's own tools cut. With
+``ranges`` the driver knows file sizes only: a partition is a run of equal
+nominal ranges, and its task looks for the first title at or after each range's
+ends, so that planning costs the same for a file of any size. Both line ends,
+and a last line without one, are read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from . import files
 TAIL = 8192
 DDL = "read_id bigint, block_id bigint, title string, seq string, qual string, plus string"
 ARROW = pa.schema([("read_id", pa.int64()), ("block_id", pa.int64()), ("title", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("plus", pa.string())])
+PLANNINGS = ("walk", "ranges")
+#: Bytes of a partition of nominal ranges.
+PARTITION_BYTES = 64 << 20
 #: A read's id: its block's number above, its place in the block below.
 PLACE_BITS = 32
 _LINE = re.compile(r"\r\n|\n|\r")
@@ -66,6 +73,42 @@ def chunks(path: str, chunk_bytes: int = BLOCK_BYTES) -> list[tuple[int, int]]:
     return out
 
 
+def first_title(path: str, at: int, total: int, step: int = TAIL) -> int:
+    """Where the first record at or after byte ``at`` starts; total if none does.
+
+    A title is a line with @ whose next but one starts with +. The line after a
+    quality line is a title and the next a sequence, which holds no +, so what
+    is found does not depend on where the search began."""
+    if at <= 0 or at >= total:
+        return min(max(at, 0), total)
+    lead, size = at - 1, step
+    while True:
+        window = files.read(path, lead, min(size, total - lead))
+        starts = [m.end() for m in re.finditer(b"\n", window)]
+        for k, a in enumerate(starts[:-2]):
+            if window[a : a + 1] == b"@" and window[starts[k + 2] : starts[k + 2] + 1] == b"+":
+                return lead + a
+            if starts[k + 2] >= len(window):
+                break
+        if lead + len(window) >= total:
+            return total
+        if len(starts) > 6:  # go on from the first line that was not settled
+            lead += starts[-4] - 1
+        else:
+            size *= 4
+
+
+def range_chunks(path: str, first: int, stop: int, total: int, chunk_bytes: int) -> Iterator[tuple[int, int, int]]:
+    """(number, start, end) of nominal ranges first to stop - 1, moved to titles.
+    A range without a title is empty and left out."""
+    start = first_title(path, first * chunk_bytes, total)
+    for n in range(first, stop):
+        end = first_title(path, (n + 1) * chunk_bytes, total) if start < min((n + 1) * chunk_bytes, total) else start
+        if end > start:
+            yield n, start, end
+        start = end
+
+
 Fields = tuple[list[str], list[str], list[str], list[str]]
 
 
@@ -124,6 +167,17 @@ class Chunk(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Nominal ranges first to stop - 1 of a file whose block 0 is base."""
+
+    path: str
+    base: int
+    first: int
+    stop: int
+    total: int
+
+
 def kept_blocks(filters: list[Filter], ids: list[int]) -> list[int]:
     """Blocks that pass the filters on block_id among those pushed."""
     tests = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
@@ -151,19 +205,41 @@ class FastqReader(BlockPushdown, DataSourceReader):
         self.path = options["path"]
         self.chunk = int(options.get("chunkbytes", BLOCK_BYTES))
         self.mode = options.get("mode", "strict")
+        self.chunk = self.chunk if self.chunk > 0 else BLOCK_BYTES
+        self.planning = options.get("planning", "walk")
+        self.span = max(1, int(options.get("partitionbytes", PARTITION_BYTES)) // self.chunk)
         if self.mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
+        if self.planning not in PLANNINGS:
+            raise ValueError(f"planning is one of {', '.join(PLANNINGS)}")
+
+    def ranges(self) -> Iterator[InputPartition]:
+        """Runs of nominal ranges with a block that the filters keep."""
+        base = 0
+        for path in files.listed(self.path):
+            total = files.size(path)
+            n = -(-total // self.chunk)
+            for first in range(0, n, self.span):
+                stop = min(n, first + self.span)
+                if not self.block_filters or kept_blocks(self.block_filters, list(range(base + first, base + stop))):
+                    yield Ranges(path, base, first, stop, total)
+            base += n
 
     def partitions(self) -> list[InputPartition]:
+        if self.planning == "ranges":
+            return list(self.ranges()) or [Chunk(-1, "", 0, 0)]
         every = [(p, *c) for p in files.listed(self.path) for c in chunks(p, self.chunk)]
         return [Chunk(i, *every[i]) for i in kept_blocks(self.block_filters, list(range(len(every))))] or [Chunk(-1, "", 0, 0)]
 
-    def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
-        if part.block_id < 0:
-            return
-        titles, seqs, quals, pluses = parse_as(self.mode, files.read(part.path, part.start, part.end - part.start), part.path, part.start)
-        ids = range(part.block_id << PLACE_BITS, (part.block_id << PLACE_BITS) + len(titles))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([part.block_id] * len(titles), pa.int64()), pa.array(titles), pa.array(seqs), pa.array(quals), pa.array(pluses)], schema=ARROW)
+    def read(self, part: Chunk | Ranges) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, Chunk):
+            found = [] if part.block_id < 0 else [(part.block_id, part.start, part.end)]
+        else:
+            found = ((part.base + n, a, b) for n, a, b in range_chunks(part.path, part.first, part.stop, part.total, self.chunk) if kept_blocks(self.block_filters, [part.base + n]))
+        for block_id, start, end in found:
+            titles, seqs, quals, pluses = parse_as(self.mode, files.read(part.path, start, end - start), part.path, start)
+            ids = range(block_id << PLACE_BITS, (block_id << PLACE_BITS) + len(titles))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([block_id] * len(titles), pa.int64()), pa.array(titles), pa.array(seqs), pa.array(quals), pa.array(pluses)], schema=ARROW)
 
 
 @dataclass
@@ -173,16 +249,21 @@ class Part(WriterCommitMessage):
 
 
 class FastqWriter(DataSourceWriter):
-    """Each task writes a part; the commit joins them in partition order."""
+    """Each task writes a part. The commit joins them in partition order into
+    one file or, with the option ``parts``, lists them in the folder's manifest
+    and moves no byte."""
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
+        self.parts = options.get("parts", "false").lower() == "true"
+        self.mark = files.begin(self.path, self.parts)
         self.repeat = options.get("plusrepetition", "false").lower() == "true"
 
     def write(self, rows) -> Part:
         from pyspark import TaskContext
 
-        part = Part(TaskContext.get().partitionId(), files.part_name(self.path))
+        at = TaskContext.get().partitionId()
+        part = Part(at, files.folder_part(self.path, self.mark, at, ".fastq") if self.parts else files.part_name(self.path, self.mark))
         with files.part(part.path) as f:
             held = []
             for r in rows:
@@ -196,18 +277,22 @@ class FastqWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         parts = [m.path for m in sorted((m for m in messages if m), key=lambda m: m.partition)]
-        fs, name = files.at(self.path)
-        with fs.open_output_stream(name) as out:
+        if self.parts:
+            files.write_manifest(self.path, [[p.rpartition("/")[2]] for p in parts if files.size(p)])
+            files.remove(p for p in parts if not files.size(p))
+            return
+        with files.part(self.path) as out:
             files.join(out, parts)
-        files.remove(parts)
+        files.clear(self.path, self.mark, False)
 
     def abort(self, messages) -> None:
-        files.remove([m.path for m in messages if m])
+        files.clear(self.path, self.mark, self.parts)
 
 
 class FastqSource(DataSource):
     """``spark.read.format("fastq")``; options chunkBytes, mode (one of MODES),
-    plusRepetition (writing). The path is a file, a folder or a glob; the files'
+    planning (one of PLANNINGS), partitionBytes (of ``ranges``), and for writing
+    plusRepetition and parts. The path is a file, a folder or a glob; the files'
     blocks are numbered on in the order of their names."""
 
     @classmethod
@@ -224,17 +309,27 @@ class FastqSource(DataSource):
         return FastqWriter(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, mode: str = "strict") -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, mode: str = "strict", planning: str = "walk") -> DataFrame:
     from . import register
 
     register(spark)
-    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).load(path)
+    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).option("planning", planning).load(path)
 
 
 def write_fastq(reads: DataFrame, path: str, plus_repetition: bool = False) -> None:
-    """Write reads as one file in the order of (block_id, read_id)."""
+    """Write reads as one file in the order of (block_id, read_id). The driver
+    copies the parts into it."""
     from . import register
 
     register(reads.sparkSession)
     rows = reads.select(*READS.fieldNames()).repartitionByRange("block_id", "read_id").sortWithinPartitions("block_id", "read_id")
     rows.write.format("fastq").option("plusRepetition", plus_repetition).mode("append").save(path)
+
+
+def write_fastq_parts(reads: DataFrame, path: str, plus_repetition: bool = False) -> None:
+    """Write reads as a folder with a file for each partition, in the order they
+    come in (that of the sources here): no shuffle, no byte through the driver."""
+    from . import register
+
+    register(reads.sparkSession)
+    reads.select(*READS.fieldNames()).write.format("fastq").option("plusRepetition", plus_repetition).option("parts", True).mode("append").save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from contextlib import contextmanager
@@ -10,6 +11,11 @@ from fnmatch import fnmatchcase
 from pyarrow.fs import FileSelector, FileSystem, FileType
 
 
+#: What a folder of parts holds, in order; written last, so that files of lost
+#: task attempts are never read.
+MANIFEST = "_parts"
+
+
 def at(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path)
 
@@ -23,8 +29,11 @@ def size(path: str) -> int:
 
 
 def listed(path: str) -> list[str]:
-    """The files that path means, by name: itself, those in the folder (without
-    hidden ones), or those that match a pattern in its last part."""
+    """The files that path means, by name: itself, those in the folder (of its
+    manifest, or all but hidden ones), or those that match a pattern in its last
+    part."""
+    if (known := manifest(path)) is not None:
+        return [name for name, *_ in known]
     fs, p = at(path)
     lead = path[: len(path) - len(p)] if path.endswith(p) else ""
     top, _, last = p.rpartition("/")
@@ -46,9 +55,66 @@ def read(path: str, offset: int, n: int) -> bytes:
         return f.read_at(n, offset)
 
 
-def part_name(path: str) -> str:
-    """A name beside path for what one task attempt writes."""
-    return f"{path}.part-{uuid.uuid4().hex}"
+@contextmanager
+def opened(path: str):
+    """A file to read from at any place."""
+    fs, p = at(path)
+    with fs.open_input_file(p) as f:
+        yield f
+
+
+def begin(path: str, parts: bool) -> str:
+    """A write's own mark; makes the folder that its tasks write to, hidden
+    beside path unless parts are to stay (then path itself). Tasks of a write
+    that was aborted find no hidden folder any more."""
+    mark = uuid.uuid4().hex
+    fs, p = at(path if parts else beside(path, mark))
+    fs.create_dir(p, recursive=True)
+    return mark
+
+
+def beside(path: str, mark: str) -> str:
+    top, _, last = path.rpartition("/")
+    return f"{top}/.{last}.part-{mark}"
+
+
+def part_name(path: str, mark: str) -> str:
+    """A name for what one task attempt writes, to be joined later."""
+    return f"{beside(path, mark)}/{uuid.uuid4().hex}"
+
+
+def folder_part(folder: str, mark: str, at: int, ending: str) -> str:
+    """A name in a folder of parts for what one task attempt writes."""
+    return f"{folder}/part-{at:06d}-{mark}-{uuid.uuid4().hex}{ending}"
+
+
+def clear(path: str, mark: str, parts: bool) -> None:
+    """Delete what the tasks of a write left, those that were killed too."""
+    fs, p = at(path if parts else beside(path, mark))
+    if parts:
+        remove(f.path if path == p else path[: len(path) - len(p)] + f.path for f in fs.get_file_info(FileSelector(p, allow_not_found=True)) if f"-{mark}-" in f.base_name)
+    elif fs.get_file_info(p).type == FileType.Directory:
+        fs.delete_dir(p)
+
+
+def manifest(folder: str) -> list[list] | None:
+    """The rows of a folder's manifest, file paths first; None without one."""
+    name = f"{folder.rstrip('/')}/{MANIFEST}"
+    fs, p = at(name)
+    if re.search(r"[*?\[]", name) or fs.get_file_info(p).type != FileType.File:
+        return None
+    rows = json.loads(read(name, 0, size(name)))
+    return [[f"{folder.rstrip('/')}/{row[0]}", *row[1:]] for row in rows]
+
+
+def write_manifest(folder: str, rows: list[list]) -> None:
+    """List a folder's parts (file names first); refuses to replace a manifest."""
+    fs, p = at(f"{folder}/{MANIFEST}")
+    if fs.get_file_info(p).type != FileType.NotFound:
+        raise FileExistsError(f"{folder} holds parts already")
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    with part(f"{folder}/{MANIFEST}") as f:
+        f.write(json.dumps(rows).encode())
 
 
 @contextmanager

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom import api, streaming
-from readloom.sources import archive, fastq
+from readloom.sources import archive, fastq, files
 
 
 def text_of(n: int, seed: int = 1, end: str = "\n", low: int = 20, high: int = 99) -> str:
@@ -193,3 +193,92 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["unpack", path("none.arc"), path("c.fastq")]) == 1
     assert main(["pack", path("c.arc"), path("none.fastq")]) == 1
     assert "error" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("chunk", [50, 333, 10_000, 10**7])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_cover_every_byte(tmp_path, chunk, end):
+    rng = random.Random(chunk)
+    records = []
+    for k in range(100):
+        n = rng.choice([0, 1, 3, 40, 300])
+        qual = "".join(rng.choice("@+I!") for _ in range(n))  # lines that look like titles and pluses
+        records.append(f"@t.{k}{end}{'A' * n}{end}+{'@' * (k % 3)}{end}{qual}{end}")
+    data = "".join(records).encode()[: -len(end)]
+    p = tmp_path / "a.fastq"
+    p.write_bytes(data)
+    starts = {0, len(data)}
+    at = 0
+    for r in records:
+        at += len(r)
+        starts.add(min(at, len(data)))
+    n = -(-len(data) // chunk)
+    for span in (1, 3, 10**9):
+        found = [c for first in range(0, n, span) for c in fastq.range_chunks(str(p), first, min(n, first + span), len(data), chunk)]
+        assert [a for _, a, _ in found] == [0] + [b for _, _, b in found][:-1]
+        assert found[-1][2] == len(data)
+        assert {x for _, *ab in found for x in ab} <= starts
+        assert len({k for k, *_ in found}) == len(found)
+
+
+@pytest.mark.parametrize("step", [1, 16, 8192])
+def test_first_title_from_any_byte(tmp_path, step):
+    p = tmp_path / "a.fastq"
+    texts = ["@a\nACGT\n+\n@III\n", "@b\n\n+\n\n", "@c\n" + "A" * 500 + "\n+\n" + "@" * 500 + "\n", "@d\nAC\n+@\n+@\n"]
+    p.write_text("".join(texts))
+    starts = [sum(map(len, texts[:k])) for k in range(5)]
+    for at in range(starts[-1] + 3):
+        assert fastq.first_title(str(p), at, starts[-1], step) == min((s for s in starts if s >= at), default=starts[-1])
+
+
+def test_folders(spark, tmp_path):
+    p = tmp_path / "a.fastq"
+    p.write_text(text_of(3000))
+    arc, back = str(tmp_path / "arc") + "/", str(tmp_path / "back") + "/"
+    made = api.pack(spark, arc, str(p), chunk_bytes=9_000)
+    assert made["records"] == 3000
+    assert made["fastq_bytes"] == p.stat().st_size
+    api.unpack(spark, arc, back)
+    whole = fastq.read_fastq(spark, str(p)).orderBy("read_id").select("title", "seq", "qual").collect()
+    assert fastq.read_fastq(spark, back).orderBy("read_id").select("title", "seq", "qual").collect() == whole
+    api.unpack(spark, arc, str(tmp_path / "one.fastq"))
+    assert (tmp_path / "one.fastq").read_text() == p.read_text()
+    with pytest.raises(Exception, match="holds parts already"):
+        api.pack(spark, arc, str(p), chunk_bytes=9_000)
+    assert len([f for f in (tmp_path / "arc").iterdir() if f.suffix == ".arc"]) == len(files.manifest(arc))
+    api.unpack(spark, arc, str(tmp_path / "two.fastq"))  # a refused second pack leaves the first as it was
+    assert (tmp_path / "two.fastq").read_text() == p.read_text()
+
+
+def test_folder_of_several_archives(spark, tmp_path):
+    p = tmp_path / "a.fastq"
+    p.write_text(text_of(2000).replace("N", "A"))  # a small last block has too few symbols for N
+    reads = fastq.read_fastq(spark, str(p), 20_000)
+    archive.write_archive_parts(archive.encoded(reads.coalesce(3)), str(tmp_path / "arc"), 10_000)
+    listed = files.manifest(str(tmp_path / "arc"))
+    assert len(listed) > 3
+    assert sum(n for _, n in listed) == reads.select("block_id").distinct().count()
+    assert len(archive.read_index(listed[0][0]).sizes) == listed[0][1]  # each is an archive of its own
+    (tmp_path / "arc" / "part-000000-lost.arc").write_bytes(b"of a lost attempt")
+    got = archive.read_archive(spark, str(tmp_path / "arc"))
+    assert got.rdd.getNumPartitions() == len(listed)
+    assert [r["title"] for r in got.orderBy("read_id").collect()] == [r["title"] for r in reads.orderBy("read_id").collect()]
+    one = got.where("block_id = 4")
+    assert one.rdd.getNumPartitions() == 1
+    assert one.select("title").collect() == reads.where("block_id = 4").select("title").collect()
+    with pytest.raises(Exception, match="order of block_id"):
+        archive.write_archive_parts(spark.createDataFrame([(2, b"x"), (1, b"y")], "block_id long, block binary").coalesce(1), str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").iterdir())
+
+
+def test_ranges_equal_walk(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.fastq").write_text(text_of(700 + k))
+    walk = fastq.read_fastq(spark, str(tmp_path / "*.fastq"), 20_000).orderBy("read_id").select("title", "seq", "qual").collect()
+    ranges = fastq.read_fastq(spark, str(tmp_path / "*.fastq"), 20_000, "exact", "ranges")
+    assert ranges.orderBy("read_id").select("title", "seq", "qual").collect() == walk
+    assert ranges.where("block_id = 3").select("block_id").distinct().count() == 1
+    assert ranges.rdd.getNumPartitions() == 2
+    (tmp_path / "0.fastq").write_text(text_of(300) + "@bad\nAC\n+\nI\n" + text_of(300))
+    with pytest.raises(Exception, match="byte"):
+        fastq.read_fastq(spark, str(tmp_path / "0.fastq"), 20_000, "exact", "ranges").count()
