@@ -8,12 +8,10 @@ from ..shipping import ship
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats ``fastq`` and ``readarchive`` known, with filters on
-    block_id pushed into them."""
+    """Make the formats ``fastq`` and ``readarchive`` known."""
     from .archive import ArchiveSource
     from .fastq import FastqSource
 
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FastqSource)
     spark.dataSource.register(ArchiveSource)

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..schema import QUALITY_OFFSET
 from . import files
 from .codec import block_head, decode_block
-from .fastq import PLACE_BITS, BlockPushdown, kept_blocks
+from .fastq import PLACE_BITS, block_spans, kept_blocks
 
 # Fixed values of the format.
 HEAD = struct.Struct(">B3BIQQQ8s")
@@ -90,9 +90,10 @@ class Member(InputPartition):
     first: int
 
 
-class ArchiveReader(BlockPushdown, DataSourceReader):
+class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
+        self.blocks = block_spans(options.get("blocks"))
         self.titles_only = options.get("columns", "all") == "title"
         self.heads_only = options.get("columns", "all") == "head"
 
@@ -100,22 +101,22 @@ class ArchiveReader(BlockPushdown, DataSourceReader):
         if (known := files.manifest(self.path)) is not None:
             return list(self.members(known)) or [Block(-1, 0, 0, 0)]
         x = read_index(self.path)
-        ids = kept_blocks(self.block_filters, list(range(len(x.sizes))))
+        ids = kept_blocks(self.blocks, list(range(len(x.sizes))))
         return [Block(i, x.offsets[i], x.sizes[i], x.quality_offset) for i in ids] or [Block(-1, 0, 0, 0)]
 
     def members(self, known: list[list]) -> Iterator[Member]:
-        """Archives with a block that the filters keep; their own index is read
+        """Archives with a block that is asked for; their own index is read
         by the tasks."""
         first = 0
         for path, blocks in known:
-            if not self.block_filters or kept_blocks(self.block_filters, list(range(first, first + blocks))):
+            if kept_blocks(self.blocks, list(range(first, first + blocks))):
                 yield Member(path, first)
             first += blocks
 
     def read(self, part: Block | Member) -> Iterator[pa.RecordBatch]:
         if isinstance(part, Member):
             x = read_index(part.path)
-            for i in kept_blocks(self.block_filters, list(range(part.first, part.first + len(x.sizes)))):
+            for i in kept_blocks(self.blocks, list(range(part.first, part.first + len(x.sizes)))):
                 yield from self.read_block(part.path, Block(i, x.offsets[i - part.first], x.sizes[i - part.first], x.quality_offset))
         elif part.block_id >= 0:
             yield from self.read_block(self.path, part)
@@ -250,7 +251,7 @@ class FolderWriter(DataSourceWriter):
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("readarchive")``; option columns = all, title or head;
+    """``spark.read.format("readarchive")``; options columns = all, title or head, blocks (read these alone);
     for writing, parts (a folder of archives) and partBytes."""
 
     @classmethod
@@ -323,11 +324,11 @@ def write_archive_parts(blocks: DataFrame, path: str, part_bytes: int = PART_BYT
     blocks.select("block_id", "block").write.format("readarchive").option("parts", True).option("partBytes", part_bytes).mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, columns: str = "all") -> DataFrame:
+def read_archive(spark: SparkSession, path: str, columns: str = "all", blocks: str | None = None) -> DataFrame:
     from . import register
 
     register(spark)
-    return spark.read.format("readarchive").option("columns", columns).load(path)
+    return spark.read.format("readarchive").option("columns", columns).options(**({"blocks": blocks} if blocks else {})).load(path)
 
 
 def decoded(blocks: DataFrame, offset: int = QUALITY_OFFSET) -> DataFrame:

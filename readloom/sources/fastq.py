@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema import BLOCK_BYTES, READS
 from . import files
@@ -178,32 +178,31 @@ class Ranges(InputPartition):
     total: int
 
 
-def kept_blocks(filters: list[Filter], ids: list[int]) -> list[int]:
-    """Blocks that pass the filters on block_id among those pushed."""
-    tests = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
-    for f in filters:
-        ids = [i for i in ids if tests[type(f)](i, f.value)]
-    return ids
+Span = tuple[int, int]
 
 
-def is_block_filter(f: Filter) -> bool:
-    return isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)) and tuple(getattr(f, "attribute", ())) == ("block_id",)
+def block_spans(option: str | None) -> list[Span] | None:
+    """The option ``blocks``: numbers and inclusive ranges, as in 2,5-9; None for
+    every block. (Filters are not pushed down: Spark 4.1 keeps what was pushed
+    for one query of a DataFrame for all later ones, which then lose rows.)"""
+    if option is None:
+        return None
+    found = [re.fullmatch(r"\s*(\d+)(?:-(\d+))?\s*", x) for x in option.split(",")]
+    if not all(found):
+        raise ValueError(f"blocks are numbers and ranges, as in 2,5-9: {option}")
+    return [(int(m[1]), int(m[2] or m[1])) for m in found]
 
 
-class BlockPushdown:
-    """Takes filters on block_id, so that other blocks are never read."""
+def kept_blocks(spans: list[Span] | None, ids: list[int]) -> list[int]:
+    """The blocks among those asked for."""
+    return ids if spans is None else [i for i in ids if any(a <= i <= b for a, b in spans)]
 
-    block_filters: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        self.block_filters = [f for f in filters if is_block_filter(f)]
-        return (f for f in filters if not is_block_filter(f))
-
-
-class FastqReader(BlockPushdown, DataSourceReader):
+class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.chunk = int(options.get("chunkbytes", BLOCK_BYTES))
+        self.blocks = block_spans(options.get("blocks"))
         self.mode = options.get("mode", "strict")
         self.chunk = self.chunk if self.chunk > 0 else BLOCK_BYTES
         self.planning = options.get("planning", "walk")
@@ -214,14 +213,14 @@ class FastqReader(BlockPushdown, DataSourceReader):
             raise ValueError(f"planning is one of {', '.join(PLANNINGS)}")
 
     def ranges(self) -> Iterator[InputPartition]:
-        """Runs of nominal ranges with a block that the filters keep."""
+        """Runs of nominal ranges with a block that is asked for."""
         base = 0
         for path in files.listed(self.path):
             total = files.size(path)
             n = -(-total // self.chunk)
             for first in range(0, n, self.span):
                 stop = min(n, first + self.span)
-                if not self.block_filters or kept_blocks(self.block_filters, list(range(base + first, base + stop))):
+                if kept_blocks(self.blocks, list(range(base + first, base + stop))):
                     yield Ranges(path, base, first, stop, total)
             base += n
 
@@ -229,13 +228,13 @@ class FastqReader(BlockPushdown, DataSourceReader):
         if self.planning == "ranges":
             return list(self.ranges()) or [Chunk(-1, "", 0, 0)]
         every = [(p, *c) for p in files.listed(self.path) for c in chunks(p, self.chunk)]
-        return [Chunk(i, *every[i]) for i in kept_blocks(self.block_filters, list(range(len(every))))] or [Chunk(-1, "", 0, 0)]
+        return [Chunk(i, *every[i]) for i in kept_blocks(self.blocks, list(range(len(every))))] or [Chunk(-1, "", 0, 0)]
 
     def read(self, part: Chunk | Ranges) -> Iterator[pa.RecordBatch]:
         if isinstance(part, Chunk):
             found = [] if part.block_id < 0 else [(part.block_id, part.start, part.end)]
         else:
-            found = ((part.base + n, a, b) for n, a, b in range_chunks(part.path, part.first, part.stop, part.total, self.chunk) if kept_blocks(self.block_filters, [part.base + n]))
+            found = ((part.base + n, a, b) for n, a, b in range_chunks(part.path, part.first, part.stop, part.total, self.chunk) if kept_blocks(self.blocks, [part.base + n]))
         for block_id, start, end in found:
             titles, seqs, quals, pluses = parse_as(self.mode, files.read(part.path, start, end - start), part.path, start)
             ids = range(block_id << PLACE_BITS, (block_id << PLACE_BITS) + len(titles))
@@ -291,7 +290,7 @@ class FastqWriter(DataSourceWriter):
 
 class FastqSource(DataSource):
     """``spark.read.format("fastq")``; options chunkBytes, mode (one of MODES),
-    planning (one of PLANNINGS), partitionBytes (of ``ranges``), and for writing
+    planning (one of PLANNINGS), partitionBytes (of ``ranges``), blocks (read these alone), and for writing
     plusRepetition and parts. The path is a file, a folder or a glob; the files'
     blocks are numbered on in the order of their names."""
 
@@ -309,11 +308,11 @@ class FastqSource(DataSource):
         return FastqWriter(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, mode: str = "strict", planning: str = "walk") -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, mode: str = "strict", planning: str = "walk", blocks: str | None = None) -> DataFrame:
     from . import register
 
     register(spark)
-    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).option("planning", planning).load(path)
+    return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).option("planning", planning).options(**({"blocks": blocks} if blocks else {})).load(path)
 
 
 def write_fastq(reads: DataFrame, path: str, plus_repetition: bool = False) -> None:

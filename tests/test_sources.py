@@ -63,7 +63,7 @@ def test_pack_unpack(spark, tmp_path):
     heads = api.inspect(spark, str(tmp_path / "a.arc")).orderBy("block_id").collect()
     assert sum(h["records"] for h in heads) == 2000
     assert sum(h["chunk_size"] for h in heads) == len(p.read_text())
-    one = archive.read_archive(spark, str(tmp_path / "a.arc")).where("block_id = 2")
+    one = archive.read_archive(spark, str(tmp_path / "a.arc"), blocks="2")
     assert one.rdd.getNumPartitions() == 1
     assert one.count() == heads[2]["records"]
     titles = archive.read_archive(spark, str(tmp_path / "a.arc"), "title")
@@ -263,7 +263,7 @@ def test_folder_of_several_archives(spark, tmp_path):
     got = archive.read_archive(spark, str(tmp_path / "arc"))
     assert got.rdd.getNumPartitions() == len(listed)
     assert [r["title"] for r in got.orderBy("read_id").collect()] == [r["title"] for r in reads.orderBy("read_id").collect()]
-    one = got.where("block_id = 4")
+    one = archive.read_archive(spark, str(tmp_path / "arc"), blocks="4")
     assert one.rdd.getNumPartitions() == 1
     assert one.select("title").collect() == reads.where("block_id = 4").select("title").collect()
     with pytest.raises(Exception, match="order of block_id"):
@@ -277,8 +277,14 @@ def test_ranges_equal_walk(spark, tmp_path):
     walk = fastq.read_fastq(spark, str(tmp_path / "*.fastq"), 20_000).orderBy("read_id").select("title", "seq", "qual").collect()
     ranges = fastq.read_fastq(spark, str(tmp_path / "*.fastq"), 20_000, "exact", "ranges")
     assert ranges.orderBy("read_id").select("title", "seq", "qual").collect() == walk
-    assert ranges.where("block_id = 3").select("block_id").distinct().count() == 1
+    some = fastq.read_fastq(spark, str(tmp_path / "*.fastq"), 20_000, "exact", "ranges", "1-2,4")
+    assert sorted(r[0] for r in some.select("block_id").distinct().collect()) == [1, 2, 4]
     assert ranges.rdd.getNumPartitions() == 2
+    part = ranges.where("block_id = 3").count()  # a filtered query leaves later ones whole
+    assert 0 < part < ranges.count() == 1401
+    assert ranges.where("block_id = 3").select("title").union(ranges.select("title")).count() == part + 1401
+    with pytest.raises(Exception, match="numbers and ranges"):
+        fastq.read_fastq(spark, str(tmp_path / "1.fastq"), blocks="x").count()
     (tmp_path / "0.fastq").write_text(text_of(300) + "@bad\nAC\n+\nI\n" + text_of(300))
     with pytest.raises(Exception, match="byte"):
         fastq.read_fastq(spark, str(tmp_path / "0.fastq"), 20_000, "exact", "ranges").count()
