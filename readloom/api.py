@@ -44,8 +44,11 @@ def unpack(spark: SparkSession, archive_path: str, fastq_path: str) -> dict:
     folder of files where fastq_path ends in /."""
     began = time.time()
     index = archive.read_index(files.listed(archive_path)[0])
-    write = fastq.write_fastq_parts if fastq_path.endswith("/") else fastq.write_fastq
-    write(archive.read_archive(spark, archive_path), fastq_path, index.plus_repetition)
+    reads = archive.read_archive(spark, archive_path)
+    if fastq_path.endswith("/"):
+        fastq.write_fastq_parts(reads, fastq_path, index.plus_repetition)
+    else:
+        fastq.write_fastq(reads, fastq_path, index.plus_repetition, in_order=True)
     return report(spark, archive_path, fastq_path) | {"seconds": round(time.time() - began, 3)}
 
 

@@ -1,5 +1,6 @@
-"""The block archive as a data source: one partition for each block, or, of a
-folder of archives with a manifest, one for each archive in it.
+"""The block archive as a data source: one partition for each block (for a run
+of them, of many), or, of a folder of archives with a manifest, one for each
+archive in it.
 
     head    AA, version 2 0 2, footer size u32, footer offset u64, records u64
             (0), blocks u64, 8 x AA                         (40 bytes)
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby, pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..schema import QUALITY_OFFSET
 from . import files
 from .codec import block_head, decode_block
-from .fastq import PLACE_BITS, block_spans, kept_blocks
+from .fastq import PLACE_BITS, block_spans, dealt, kept_blocks
 
 # Fixed values of the format.
 HEAD = struct.Struct(">B3BIQQQ8s")
@@ -34,6 +36,8 @@ HEAD_MARK, FOOTER_MARK = 0xAA, 0xCC
 SETTINGS = struct.Struct(">BBBBBQ")
 #: Bytes of blocks in an archive of a folder.
 PART_BYTES = 64 << 20
+#: Bytes of blocks in a partition of a single archive, at most.
+READ_BYTES = 16 << 20
 PLUS_REPETITION, COLOR_SPACE, LOSSY, CHECKSUM = 1, 2, 1, 2
 
 
@@ -75,13 +79,20 @@ def read_index(path: str) -> Index:
 
 
 @dataclass
-class Block(InputPartition):
+class Block:
     block_id: int
     offset: int
     size: int
     quality_offset: int
 
 
+@dataclass
+class Blocks(InputPartition):
+    """Blocks of one archive, in order."""
+
+    blocks: list[Block]
+
+
 @dataclass
 class Member(InputPartition):
     """An archive of a folder; its blocks are numbered on from first."""
@@ -99,10 +110,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if (known := files.manifest(self.path)) is not None:
-            return list(self.members(known)) or [Block(-1, 0, 0, 0)]
+            return list(self.members(known)) or [Blocks([])]
         x = read_index(self.path)
-        ids = kept_blocks(self.blocks, list(range(len(x.sizes))))
-        return [Block(i, x.offsets[i], x.sizes[i], x.quality_offset) for i in ids] or [Block(-1, 0, 0, 0)]
+        kept = [Block(i, x.offsets[i], x.sizes[i], x.quality_offset) for i in kept_blocks(self.blocks, list(range(len(x.sizes))))]
+        return [Blocks(kept[run]) for run in dealt([b.size for b in kept], READ_BYTES)] or [Blocks([])]
 
     def members(self, known: list[list]) -> Iterator[Member]:
         """Archives with a block that is asked for; their own index is read
@@ -113,26 +124,33 @@ class ArchiveReader(DataSourceReader):
                 yield Member(path, first)
             first += blocks
 
-    def read(self, part: Block | Member) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Blocks | Member) -> Iterator[pa.RecordBatch]:
         if isinstance(part, Member):
-            x = read_index(part.path)
-            for i in kept_blocks(self.blocks, list(range(part.first, part.first + len(x.sizes)))):
-                yield from self.read_block(part.path, Block(i, x.offsets[i - part.first], x.sizes[i - part.first], x.quality_offset))
-        elif part.block_id >= 0:
-            yield from self.read_block(self.path, part)
-
-    def read_block(self, path: str, part: Block) -> Iterator[pa.RecordBatch]:
-        if self.heads_only:  # counting records without decoding
-            h = block_head(files.read(path, part.offset, min(20, part.size)))
-            yield pa.RecordBatch.from_pydict({"block_id": [part.block_id], "offset": [part.offset], "size": [part.size], **{k: [h[k]] for k in ("records", "min_q", "max_q", "chunk_size")}})
-            return
-        titles, seqs, quals = decode_block(files.read(path, part.offset, part.size), part.quality_offset, self.titles_only)
+            path, x = part.path, read_index(part.path)
+            blocks = [Block(i, x.offsets[i - part.first], x.sizes[i - part.first], x.quality_offset) for i in kept_blocks(self.blocks, list(range(part.first, part.first + len(x.sizes))))]
+        else:
+            path, blocks = self.path, part.blocks
+        if blocks:
+            with files.opened(path) as f:
+                if self.heads_only:
+                    yield self.read_heads(f, blocks)
+                else:
+                    for b in blocks:
+                        yield self.read_block(f, b)
+
+    def read_heads(self, f, blocks: list[Block]) -> pa.RecordBatch:
+        """Counts records without decoding."""
+        heads = [block_head(f.read_at(min(20, b.size), b.offset)) for b in blocks]
+        return pa.RecordBatch.from_pydict({**{k: [getattr(b, k) for b in blocks] for k in ("block_id", "offset", "size")}, **{k: [h[k] for h in heads] for k in ("records", "min_q", "max_q", "chunk_size")}})
+
+    def read_block(self, f, part: Block) -> pa.RecordBatch:
+        titles, seqs, quals = decode_block(f.read_at(part.size, part.offset), part.quality_offset, self.titles_only)
         n = len(titles)
         ids = range(part.block_id << PLACE_BITS, (part.block_id << PLACE_BITS) + n)
         cols = {"read_id": pa.array(ids, pa.int64()), "block_id": pa.array([part.block_id] * n, pa.int64()), "title": titles}
         if not self.titles_only:
             cols |= {"seq": seqs, "qual": quals}
-        yield pa.RecordBatch.from_pydict(cols)
+        return pa.RecordBatch.from_pydict(cols)
 
 
 @dataclass
@@ -278,27 +296,32 @@ def encoded(reads: DataFrame, verify: bool = True) -> DataFrame:
 
     ship(reads.sparkSession)
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        rows = list(b["title"]), list(b["seq"]), list(b["qual"])
+    def one(block_id: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = tuple([v for b in held for v in b.column(k).to_pylist()] for k in (1, 2, 3))
         data = encode_block(*rows)
         ok = not verify or decode_block(data) == rows
         if not ok:
-            raise ValueError(f"block {b['block_id'].iloc[0]} does not decode to what was encoded")
-        text = sum(map(len, rows[0])) + 2 * sum(map(len, rows[1])) + 5 * len(b)
-        return pd.DataFrame({"block_id": b["block_id"].iloc[:1], "records": len(b), "text_bytes": text, "block": [data], "ok": ok})
+            raise ValueError(f"block {block_id} does not decode to what was encoded")
+        text = sum(map(len, rows[0])) + 2 * sum(map(len, rows[1])) + 5 * len(rows[0])
+        return pa.RecordBatch.from_pydict({"block_id": [block_id], "records": [len(rows[0])], "text_bytes": [text], "block": [data], "ok": [ok]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
-            for _, own in b.groupby("block_id", sort=False):
-                if held and held[0]["block_id"].iloc[0] != own["block_id"].iloc[0]:
-                    yield one(pd.concat(held, ignore_index=True))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            for start, end in zip([0, *ends], ends, strict=False):
+                own = int(ids[start])
+                if held and last != own:
+                    yield one(last, held)
                     held = []
-                held.append(own)
+                last = own
+                held.append(b.slice(start, end - start))
         if held:
-            yield one(pd.concat(held, ignore_index=True))
+            yield one(last, held)
 
-    return reads.select("block_id", "title", "seq", "qual").mapInPandas(run, "block_id long, records long, text_bytes long, block binary, ok boolean")
+    return reads.select("block_id", "title", "seq", "qual").mapInArrow(run, "block_id long, records long, text_bytes long, block binary, ok boolean")
 
 
 def blocks_in_place(reads: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""FASTQ as a data source: record-aligned chunks, one partition for each.
+"""FASTQ as a data source: record-aligned chunks, one partition for each or, of
+many, for a run of them.
 
 A chunk is a block of the archive. With ``planning`` ``walk`` the driver walks
 the file by its boundaries, reading a small tail for each chunk, and hands out
@@ -18,8 +19,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema import BLOCK_BYTES, READS
 from . import files
@@ -30,6 +32,8 @@ ARROW = pa.schema([("read_id", pa.int64()), ("block_id", pa.int64()), ("title",
 PLANNINGS = ("walk", "ranges")
 #: Bytes of a partition of nominal ranges.
 PARTITION_BYTES = 64 << 20
+#: Blocks share partitions where there are more than this; a task costs more than a small block.
+PARTITIONS = 128
 #: A read's id: its block's number above, its place in the block below.
 PLACE_BITS = 32
 _LINE = re.compile(r"\r\n|\n|\r")
@@ -55,21 +59,22 @@ def chunks(path: str, chunk_bytes: int = BLOCK_BYTES) -> list[tuple[int, int]]:
     searching further back."""
     total, start, out = files.size(path), 0, []
     chunk_bytes = chunk_bytes if chunk_bytes > 0 else BLOCK_BYTES
-    while start < total:
-        size, cut = chunk_bytes, None
-        while cut is None and start + size < total:
-            tail = min(TAIL, size)
-            while cut is None and tail <= size:
-                window = files.read(path, start + size - tail, tail)
-                if (found := last_record(window, tail)) is not None and start + size - tail + found > start:
-                    cut = start + size - tail + found
-                elif tail == size:
-                    break
-                tail = min(size, tail * 4)
-            size *= 2  # no record ends in this chunk
-        end = cut if cut is not None else total
-        out.append((start, end))
-        start = end
+    with files.opened(path) as f:
+        while start < total:
+            size, cut = chunk_bytes, None
+            while cut is None and start + size < total:
+                tail = min(TAIL, size)
+                while cut is None and tail <= size:
+                    window = f.read_at(tail, start + size - tail)
+                    if (found := last_record(window, tail)) is not None and start + size - tail + found > start:
+                        cut = start + size - tail + found
+                    elif tail == size:
+                        break
+                    tail = min(size, tail * 4)
+                size *= 2  # no record ends in this chunk
+            end = cut if cut is not None else total
+            out.append((start, end))
+            start = end
     return out
 
 
@@ -160,11 +165,10 @@ def parse_as(mode: str, data: bytes, where: str, start: int) -> Fields:
 
 
 @dataclass
-class Chunk(InputPartition):
-    block_id: int
-    path: str
-    start: int
-    end: int
+class Chunks(InputPartition):
+    """Blocks in a row: block_id, path, start, end of each."""
+
+    blocks: list[tuple[int, str, int, int]]
 
 
 @dataclass
@@ -198,6 +202,17 @@ def kept_blocks(spans: list[Span] | None, ids: list[int]) -> list[int]:
     return ids if spans is None else [i for i in ids if any(a <= i <= b for a, b in spans)]
 
 
+def dealt(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of blocks of these sizes for a partition each: single blocks, or of
+    more than PARTITIONS runs of equal bytes, up to ``most``."""
+    limit, first, held = min(most, sum(sizes) // PARTITIONS) if len(sizes) > PARTITIONS else 0, 0, 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= limit or k == len(sizes) - 1:
+            yield slice(first, k + 1)
+            first, held = k + 1, 0
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -226,17 +241,18 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.planning == "ranges":
-            return list(self.ranges()) or [Chunk(-1, "", 0, 0)]
+            return list(self.ranges()) or [Chunks([])]
         every = [(p, *c) for p in files.listed(self.path) for c in chunks(p, self.chunk)]
-        return [Chunk(i, *every[i]) for i in kept_blocks(self.blocks, list(range(len(every))))] or [Chunk(-1, "", 0, 0)]
+        kept = [(i, *every[i]) for i in kept_blocks(self.blocks, list(range(len(every))))]
+        return [Chunks(kept[run]) for run in dealt([end - start for *_, start, end in kept], PARTITION_BYTES)] or [Chunks([])]
 
-    def read(self, part: Chunk | Ranges) -> Iterator[pa.RecordBatch]:
-        if isinstance(part, Chunk):
-            found = [] if part.block_id < 0 else [(part.block_id, part.start, part.end)]
+    def read(self, part: Chunks | Ranges) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, Chunks):
+            found = part.blocks
         else:
-            found = ((part.base + n, a, b) for n, a, b in range_chunks(part.path, part.first, part.stop, part.total, self.chunk) if kept_blocks(self.blocks, [part.base + n]))
-        for block_id, start, end in found:
-            titles, seqs, quals, pluses = parse_as(self.mode, files.read(part.path, start, end - start), part.path, start)
+            found = ((part.base + n, part.path, a, b) for n, a, b in range_chunks(part.path, part.first, part.stop, part.total, self.chunk) if kept_blocks(self.blocks, [part.base + n]))
+        for block_id, path, start, end in found:
+            titles, seqs, quals, pluses = parse_as(self.mode, files.read(path, start, end - start), path, start)
             ids = range(block_id << PLACE_BITS, (block_id << PLACE_BITS) + len(titles))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([block_id] * len(titles), pa.int64()), pa.array(titles), pa.array(seqs), pa.array(quals), pa.array(pluses)], schema=ARROW)
 
@@ -247,7 +263,19 @@ class Part(WriterCommitMessage):
     path: str
 
 
-class FastqWriter(DataSourceWriter):
+def rendered_batch(rows: pa.RecordBatch, plus_repetition: bool) -> bytes:
+    """The text of a batch of reads."""
+    title, seq, qual = (rows.column(rows.schema.get_field_index(c)) for c in ("title", "seq", "qual"))
+    if title.null_count or seq.null_count or qual.null_count:
+        raise ValueError("a read without a title, a sequence or qualities")
+    text = lambda s: pa.scalar(s, title.type)
+    plus = pc.binary_join_element_wise(text("+"), pc.utf8_slice_codeunits(title, 1), text("")) if plus_repetition else text("+")
+    lines = pc.binary_join_element_wise(title, seq, plus, qual, text(""), text("\n"))
+    data = b"".join(lines.cast(pa.binary()).to_pylist())
+    return data if data.isascii() else data.decode().encode("latin-1")
+
+
+class FastqWriter(DataSourceArrowWriter):
     """Each task writes a part. The commit joins them in partition order into
     one file or, with the option ``parts``, lists them in the folder's manifest
     and moves no byte."""
@@ -258,20 +286,14 @@ class FastqWriter(DataSourceWriter):
         self.mark = files.begin(self.path, self.parts)
         self.repeat = options.get("plusrepetition", "false").lower() == "true"
 
-    def write(self, rows) -> Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId()
         part = Part(at, files.folder_part(self.path, self.mark, at, ".fastq") if self.parts else files.part_name(self.path, self.mark))
         with files.part(part.path) as f:
-            held = []
-            for r in rows:
-                plus = "+" + r["title"][1:] if self.repeat else "+"
-                held.append(f"{r['title']}\n{r['seq']}\n{plus}\n{r['qual']}\n")
-                if len(held) == 4096:
-                    f.write("".join(held).encode("latin-1"))
-                    held = []
-            f.write("".join(held).encode("latin-1"))
+            for b in batches:
+                f.write(rendered_batch(b, self.repeat))
         return part
 
     def commit(self, messages) -> None:
@@ -315,13 +337,17 @@ def read_fastq(spark: SparkSession, path: str, chunk_bytes: int = BLOCK_BYTES, m
     return spark.read.format("fastq").option("chunkBytes", chunk_bytes).option("mode", mode).option("planning", planning).options(**({"blocks": blocks} if blocks else {})).load(path)
 
 
-def write_fastq(reads: DataFrame, path: str, plus_repetition: bool = False) -> None:
-    """Write reads as one file in the order of (block_id, read_id). The driver
-    copies the parts into it."""
+def write_fastq(reads: DataFrame, path: str, plus_repetition: bool = False, in_order: bool = False) -> None:
+    """Write reads as one file in the order of (block_id, read_id), which is that
+    of the partitions already where ``in_order`` says so (as the sources here
+    give them): nothing is sorted then, and no row computed twice for the ranges
+    of a sort. The driver copies the parts into it."""
     from . import register
 
     register(reads.sparkSession)
-    rows = reads.select(*READS.fieldNames()).repartitionByRange("block_id", "read_id").sortWithinPartitions("block_id", "read_id")
+    rows = reads.select(*READS.fieldNames())
+    if not in_order:
+        rows = rows.repartitionByRange("block_id", "read_id").sortWithinPartitions("block_id", "read_id")
     rows.write.format("fastq").option("plusRepetition", plus_repetition).mode("append").save(path)
 
 
